@@ -36,11 +36,11 @@ class _Uncut(Exception):
 class _Memo(dict):
     """A table that computes what it lacks."""
 
-    def __init__(self, make: Callable[[str], bytes], entries: int, longest: int = 48):
+    def __init__(self, make: Callable[[str], bytes | int], entries: int, longest: int = 48):
         super().__init__()
         self.make, self.entries, self.longest = make, entries, longest
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> bytes | int:
         value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.entries:
@@ -65,6 +65,8 @@ class Encoder:
         self.find = regex.compile(BYTE_LEVEL if byte_level else WORD_LEVEL).findall
         self.model, self.normal = self.library.model, self.library.normalizer
         self.cores, self.pieces = _Memo(self._core, entries // 6), _Memo(self._piece, entries)
+        self.counts = _Memo(self._pretoken, entries)
+        self.token_count = self.counts.__getitem__  # the number of ids of a pre-token
 
     def whole(self, text: str) -> bytes:
         """Straight from the library."""
@@ -74,6 +76,9 @@ class Encoder:
         letters = token.encode("utf-8").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
+    def _pretoken(self, token: str) -> int:
+        return len(self.whole(token) if not token.isascii() and max(token) > LAST_LATIN else self._core(token)) // 4
+
     def _piece(self, piece: str) -> bytes:
         """Of what stands behind a blank, or of a line feed and what stands behind it."""
         if piece.isascii():
