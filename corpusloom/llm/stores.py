@@ -9,7 +9,10 @@ from pyarrow import fs
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI or local path, and the path in it."""
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    path = uri.removeprefix("file:") if uri.startswith("file:") else uri
+    if "://" not in uri or path is not uri:  # file:/x, file:///x or a plain path
+        return fs.LocalFileSystem(), f"/{path.lstrip('/')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 class AtomicFile:
