@@ -16,7 +16,8 @@ Since the model is linear from the embeddings on, a word contributes one number.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,26 +87,40 @@ class ToxicityModel:
 
 
 class _Bags:
-    """Windows of word numbers, and the buckets of each word, as flat arrays."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        self.number: dict[bytes, int] = {}
-        self.windows, self.text_of = [], []
-        for t, tokens in enumerate(texts):
-            ids = [self.number.setdefault(w, len(self.number)) for w in tokens]
-            for i in range(0, max(1, len(ids) - WINDOW // 2), WINDOW):
-                self.windows.append(np.array(ids[i : i + WINDOW], "i8"))
-                self.text_of.append(t)
-        subs = [subwords(w) for w in self.number]
-        self.counts = np.array([len(s) for s in subs] or [0])
+    """Windows of word numbers, and the buckets of each word, as flat arrays. Texts without words are left out."""
+
+    def __init__(self, texts: Iterable[str | None]):
+        number: dict[bytes, int] = {}
+        ids, begins, sizes, text_of, self.kept = array("i"), [], [], [], []
+        for k, text in enumerate(texts):
+            own = [number.setdefault(w, len(number)) for w in words(text)]
+            if not own:
+                continue
+            at = np.arange(0, max(1, len(own) - WINDOW // 2), WINDOW)
+            begins.append(at + len(ids))
+            sizes.append(np.minimum(WINDOW, len(own) - at))
+            text_of.append(np.full(len(at), len(self.kept)))
+            self.kept.append(k)
+            ids.extend(own)
+        self.ids = np.frombuffer(ids, "i4") if ids else np.zeros(0, "i4")
+        none = [np.zeros(0, "i8")]
+        self.begins, self.sizes, self.text_of = np.concatenate(begins or none), np.concatenate(sizes or none), np.concatenate(text_of or none)
+        subs, counts = array("i"), array("i")
+        for w in number:
+            own = subwords(w)
+            subs.extend(own)
+            counts.append(len(own))
+        self.subs, self.counts = np.frombuffer(subs or array("i", [0]), "i4"), np.frombuffer(counts or array("i", [0]), "i4").astype("i8")
         self.starts = np.cumsum(np.r_[0, self.counts])[:-1]
-        self.subs = np.array([b for s in subs for b in s], "i4")
-        self.text_of = np.array(self.text_of, "i8")
+
+    def __len__(self) -> int:
+        return len(self.begins)
 
     def flat(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the chosen windows: words that occur, the place of each token's word among them, its window, sizes."""
-        sizes = np.array([len(self.windows[i]) for i in chosen])
-        used, place = np.unique(np.concatenate([self.windows[i] for i in chosen]), return_inverse=True)
+        sizes = self.sizes[chosen]
+        at = np.repeat(self.begins[chosen] - np.cumsum(np.r_[0, sizes])[:-1], sizes) + np.arange(sizes.sum())
+        used, place = np.unique(self.ids[at], return_inverse=True)
         return used, place, np.repeat(np.arange(len(chosen)), sizes), sizes
 
     def buckets(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +128,14 @@ class _Bags:
         at = np.repeat(self.starts[used] - np.cumsum(np.r_[0, counts])[:-1], counts) + np.arange(counts.sum())
         return self.subs[at], counts
 
+    def met(self) -> np.ndarray:
+        """In how many texts each bucket occurs."""
+        out = np.zeros(BUCKETS)
+        edges = np.flatnonzero(np.r_[True, self.text_of[1:] != self.text_of[:-1]])
+        for a, b in zip(self.begins[edges], [*self.begins[edges[1:]], len(self.ids)], strict=True):
+            out[np.unique(self.buckets(np.unique(self.ids[a:b]))[0])] += 1
+        return out
+
 
 def _sum_rows(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, weights=rows[:, k], minlength=n) for k in range(rows.shape[1])], axis=1)
@@ -135,7 +158,7 @@ class _Trainer:
         return used, place, window, sizes, subs, counts, _sum_rows(window, word[place], len(chosen)) / sizes[:, None]
 
     def logits(self) -> np.ndarray:
-        out = np.zeros(len(self.bags.windows))
+        out = np.zeros(len(self.bags))
         for i in range(0, len(out), 4096):
             chosen = np.arange(i, min(i + 4096, len(out)))
             z = self._vectors(chosen)[-1] @ self.w + self.b
@@ -192,9 +215,8 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 6, rate: flo
         own = order[y[order] == c]
         held[own[: len(own) // 5]] = True
     fit = np.flatnonzero(~held)
-    tokens = [words(texts[i]) for i in fit]
-    full = [i for i, t in enumerate(tokens) if t]
-    bags, yt = _Bags([tokens[i] for i in full]), y[fit][full]
+    bags = _Bags(texts[i] for i in fit)
+    yt = y[fit][bags.kept]
     trainer, negative = _Trainer(bags, seed), np.flatnonzero(yt[bags.text_of] == 0)
     positive = np.flatnonzero(yt[bags.text_of] == 1)
     chosen = positive
@@ -211,9 +233,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 6, rate: flo
         label = np.r_[np.ones(len(chosen), "i8"), np.zeros(len(some), "i8")]
         weight = np.where(label == 1, len(both) / (2 * len(chosen)), len(both) / (2 * len(some)))
         trainer.epoch(both, label, np.sqrt(weight), rate)
-    met = np.zeros(BUCKETS)
-    for t in tokens:
-        met[np.unique(np.array([b for w in set(t) for b in subwords(w)], "i8"))] += 1
+    met = bags.met()
     values = (trainer.e @ (trainer.w[:, 1] - trainer.w[:, 0]) * met / (met + SUPPORT)).astype("f4")
     model = ToxicityModel(values, float(trainer.b[1] - trainer.b[0]), 1.0, 0.0)
     check = np.flatnonzero(held) if len(np.unique(y[held])) == 2 else np.arange(len(y))
