@@ -61,7 +61,7 @@ def lm_chunks(text: Column, least: int = 3) -> Column:
 def sentences(text: Column, marks: str = "。.!?！？") -> Column:
     """Cut behind runs of sentence marks and at line feeds; blank pieces go."""
     cut = F.split(F.regexp_replace(text, f"([{marks}]+)", "$1\n"), "\n", -1)
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def code_points(text: Column) -> Column:

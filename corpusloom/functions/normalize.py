@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Replacements of Unicode punctuation, and the marks that some pipelines keep as they are.
 PUNCT = {
@@ -45,12 +45,12 @@ def mask_digits(c: Column, unicode: bool = True) -> Column:
     return F.regexp_replace(c, r"(?U)\d" if unicode else "[0-9]", "0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """NFKC without combining marks."""
     return s.map(lambda x: None if x is None else "".join(ch for ch in unicodedata.normalize("NFKC", x) if unicodedata.category(ch) != "Mn"))
@@ -117,7 +117,7 @@ def normalize_spacing(c: Column, language: str = "en") -> Column:
     return F.regexp_replace(out, "([0-9]) ([0-9])", "$1,$2" if language in COMMA_LANGUAGES else "$1.$2")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_simplified_chinese(s: pd.Series) -> pd.Series:
     """Whether a character is lost on the way through Shift-JIS."""
     return s.map(lambda x: None if x is None else x.encode("shift_jis", "ignore").decode("shift_jis") != x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _ratio(a: Column, b: Column, value: Column, both_empty: float, one_empty: float = 0.0) -> Column:
@@ -81,7 +81,7 @@ def common_subsequence(a: str | list, b: str | list) -> int:
     return row[-1]
 
 
-def _pairwise(f: Callable, kind: str):
+def _pairwise(f: Callable, kind: T.DataType):
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(x if isinstance(x, str) else list(x), y if isinstance(y, str) else list(y)) for x, y in zip(a, b, strict=True)])
@@ -97,8 +97,8 @@ def _similar(d: Callable, complement: bool) -> Callable:
     return f
 
 
-damerau = _pairwise(osa_distance, "long")
-damerau_similarity = _pairwise(_similar(osa_distance, True), "double")
-lcs_length = _pairwise(common_subsequence, "long")
-lcs_similarity = _pairwise(_similar(common_subsequence, False), "double")
-token_edit_distance = _pairwise(edit_distance, "long")
+damerau = _pairwise(osa_distance, T.LongType())
+damerau_similarity = _pairwise(_similar(osa_distance, True), T.DoubleType())
+lcs_length = _pairwise(common_subsequence, T.LongType())
+lcs_similarity = _pairwise(_similar(common_subsequence, False), T.DoubleType())
+token_edit_distance = _pairwise(edit_distance, T.LongType())

@@ -24,7 +24,7 @@ def read_blank_line_documents(spark: SparkSession, path: str) -> DataFrame:
     a large file is split over tasks; the last document needs no blank line behind it."""
     rows = spark.read.option("lineSep", "\n\n").text(path)
     pieces = rows.select(F.explode(F.split("value", r"\n\s*\n|^\s*\n")).alias("v"))
-    kept = F.filter(F.transform(F.split("v", "\n"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split("v", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return pieces.select(F.array_join(kept, "\n").alias("text")).where("text != ''")
 
 
