@@ -99,15 +99,11 @@ def line_lengths_are_ok(text: Column, least: int = 5, most: int = 2048) -> Colum
 
 def strip_starts(line: Column, starts: list[str] = READ_MORE_STARTS) -> Column:
     """Each literal in order, once, where the line begins with it by then."""
-    for s in starts:
-        line = F.when(line.startswith(s), F.substr(line, F.lit(len(s) + 1))).otherwise(line)
-    return line
+    return F.aggregate(F.array(*map(F.lit, starts)), line, lambda x, s: F.when(F.startswith(x, s), F.substr(x, F.length(s) + 1)).otherwise(x))
 
 
 def strip_ends(line: Column, ends: list[str] = READ_MORE_ENDS) -> Column:
-    for e in ends:
-        line = F.when(line.endswith(e), F.left(line, F.length(line) - len(e))).otherwise(line)
-    return line
+    return F.aggregate(F.array(*map(F.lit, ends)), line, lambda x, e: F.when(F.endswith(x, e), F.left(x, F.length(x) - F.length(e))).otherwise(x))
 
 
 def linewise_clean(text: Column, starts: list[str] = READ_MORE_STARTS, ends: list[str] = READ_MORE_ENDS, dots: list[str] = LEADING_DOTS, inside: list[str] = READ_MORE_INSIDE) -> Column:

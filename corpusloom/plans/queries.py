@@ -193,8 +193,17 @@ def _grams(name: str, expr, sql: str) -> None:
 
 
 _grams("t1_char_5grams", lambda: g.char_ngrams(T(), 5), SQL_CHARS.format(n=5))
-_grams("t3_word_shingles", lambda: g.word_shingles(T(), 5), f"CASE WHEN len({SPACE_WORDS.format('text')}) < 5 THEN {SPACE_WORDS.format('text')} ELSE {GRAMS.format(w=SPACE_WORDS.format('text'), n=5)} END")
-_grams("t4_token_ngrams", lambda: g.token_ngrams(g.ascii_words(T()), 3, 5), f"CASE WHEN len({WORDS.format('text')}) < 5 THEN [] ELSE {GRAMS.format(w=WORDS.format('text'), n=3)} END")
+
+
+def _word_grams(name: str, words, expr, sql_words: str, sql: str) -> None:
+    """As ``_grams`` over a column w of words that is computed once."""
+    query(name, "documents", f"WITH w AS (SELECT doc_id, {sql_words} AS w FROM documents), g AS (SELECT doc_id, unnest({sql}) AS x FROM w) SELECT doc_id, count(*) AS n, count(DISTINCT x) AS n_distinct, min(md5(x)) AS least, max(md5(x)) AS most FROM g GROUP BY doc_id")(
+        lambda df: df.select("doc_id", words().alias("w")).select("doc_id", F.explode(expr(F.col("w"))).alias("x")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("n_distinct"), F.min(F.md5("x")).alias("least"), F.max(F.md5("x")).alias("most"))
+    )
+
+
+_word_grams("t3_word_shingles", lambda: g.whitespace_words(T()), lambda w: F.when(F.size(w) < 5, w).otherwise(g.token_ngrams(w, 5)), SPACE_WORDS.format("text"), f"CASE WHEN len(w) < 5 THEN w ELSE {GRAMS.format(w='w', n=5)} END")
+_word_grams("t4_token_ngrams", lambda: g.ascii_words(T()), lambda w: g.token_ngrams(w, 3, 5), WORDS.format("text"), f"CASE WHEN len(w) < 5 THEN [] ELSE {GRAMS.format(w='w', n=3)} END")
 _grams("t5_nonword_split", lambda: g.nonword_split(ASCII(T())), f"string_split_regex({SQL_ASCII.format('text')}, '[^a-zA-Z0-9_]')")
 _grams("t15_lm_chunks", lambda: g.lm_chunks(T()), f"list_filter({SPACE_WORDS.format('text')}, lambda x: length(x) >= 3)")
 _grams("t16_sentences", lambda: g.sentences(T()), "list_filter(list_transform(string_split(regexp_replace(text, '([。.!?！？]+)', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')")
