@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def _slide(size: Column, n: int, make) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), make)).otherwise(none)
+def _bound(value: Column, make) -> Column:
+    """``make`` of a value that is computed once; an outer expression inside a lambda is computed for every element."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _slide(text: Column, gram: str, step: str) -> Column:
+    """Every overlapping match of ``gram``, in one pass: what lies ahead is captured, then ``step`` is consumed."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=({gram})){step}"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def char_ngrams(text: Column, n: int, short: str = "none") -> Column:
     """N-grams of code points. Of a shorter text: ``none``, or the text ``whole``."""
-    grams = _slide(F.length(text), n, lambda i: F.substr(text, i, F.lit(n)))
+    grams = _slide(text, f".{{{n}}}", ".")
     return F.when(F.length(text) < n, F.array(text)).otherwise(grams) if short == "whole" else grams
 
 
 def byte_ngrams(text: Column, n: int = 3) -> Column:
     """N-grams of UTF-8 bytes in hexadecimal; a shorter text is one gram, an empty one none."""
     data = F.hex(F.encode(text, "UTF-8"))
-    grams = _slide(F.octet_length(text), n, lambda i: F.substr(data, 2 * i - 1, F.lit(2 * n)))
+    grams = _slide(data, f".{{{2 * n}}}", "..")
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.octet_length(text) < n, F.array(data)).otherwise(grams)
 
 
@@ -38,9 +43,14 @@ def nonword_split(text: Column) -> Column:
 
 def token_ngrams(tokens: Column, n: int, least: int = 1, glue: str = " ") -> Column:
     """No grams of fewer than ``least`` tokens; fewer than n tokens are one gram."""
-    grams = _slide(F.size(tokens), n, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), glue))
     none = F.array().cast("array<string>")
-    return F.when((F.size(tokens) < least) | (F.size(tokens) == 0), none).when(F.size(tokens) < n, F.array(F.array_join(tokens, glue))).otherwise(grams)
+
+    def of(t: Column) -> Column:
+        size = F.size(t)
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), glue))
+        return F.when((size < least) | (size == 0), none).when(size < n, F.array(F.array_join(t, glue))).when(size >= n, grams).otherwise(none)
+
+    return _bound(tokens, of)
 
 
 def word_shingles(text: Column, n: int) -> Column:
