@@ -36,10 +36,10 @@ def column(name: str, expr, sql: str, out: str = "value", table: str = "document
 
 
 T = lambda: F.col("text")
-LEFT, RIGHT = lambda: F.substring("text", 1, 40), lambda: F.substring("text", 21, 40)
+LEFT, RIGHT = lambda: F.concat_ws(" ", "p_name", "p_brand"), lambda: F.concat_ws(" ", F.lower("p_type"), "p_name")
 ASCII = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
 SQL_ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"
-A40, B40 = SQL_ASCII.format("substring(text, 1, 40)"), SQL_ASCII.format("substring(text, 21, 40)")
+SQL_LEFT, SQL_RIGHT = "concat_ws(' ', p_name, p_brand)", "concat_ws(' ', lower(p_type), p_name)"
 WORDS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
 SPACE_WORDS = "list_filter(string_split_regex({0}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
 GRAMS = "CASE WHEN len({w}) >= {n} THEN list_transform(range(1, len({w}) - {n} + 2), lambda i: array_to_string({w}[i:i + {n} - 1], ' ')) ELSE [] END"
@@ -219,18 +219,18 @@ query("t8_top_words", "documents", f"SELECT lang, word, n FROM (SELECT lang, wor
 query("h5_md5_sha256", "documents", "SELECT doc_id, md5(text) AS m, sha256(text) AS s FROM documents")(lambda df: df.select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s")))
 column("h6_sha1_32", lambda: h.sha1_32(T()), "('0x' || substring(sha1(text), 7, 2) || substring(sha1(text), 5, 2) || substring(sha1(text), 3, 2) || substring(sha1(text), 1, 2))::BIGINT")
 query("h7_xxh3", "documents")(lambda df: df.select("doc_id", h.hash_udf(h.xxh3_bits)("text").alias("value")))
-query("h3_fnv1a", "documents")(lambda df: df.select("doc_id", h.hash_udf(h.fnv1a_32)(F.substring("text", 1, 64)).alias("value")))
+query("h3_fnv1a", "documents")(lambda df: df.select("doc_id", h.hash_udf(h.fnv1a_32)("text").alias("value")))
 query("h17_match_probability", None, "SELECT i::BIGINT AS i, round(1 - pow(1 - pow(i / 100.0, 8), 16), 9) AS p FROM range(0, 101) t(i)")(lambda spark, d: spark.range(101).select(F.col("id").alias("i"), F.round(h.match_probability(F.col("id") / 100, 16, 8), 9).alias("p")))
 column("h23_base64", lambda: F.md5(F.regexp_replace(F.base64(F.encode(T(), "UTF-8")), "[\r\n]", "")), "md5(base64(encode(text)))")
 column("h21_hamming", lambda: F.bit_count(F.col("doc_id").bitwiseXOR(F.col("n_chars"))).cast("long"), "bit_count(xor(doc_id, n_chars))::BIGINT")
-SETS = (lambda: F.array_distinct(g.char_ngrams(ASCII(LEFT()), 2)), lambda: F.array_distinct(g.char_ngrams(ASCII(RIGHT()), 2)))
+SETS = (lambda: F.array_distinct(g.char_ngrams(LEFT(), 2)), lambda: F.array_distinct(g.char_ngrams(RIGHT(), 2)))
 _SQL_SET = "list_distinct(CASE WHEN length({0}) >= 2 THEN list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)) ELSE [] END)"
 SA, SB = _SQL_SET.format("a"), _SQL_SET.format("b")
-_SETS = f"(SELECT doc_id, {SA} AS x, {SB} AS y FROM (SELECT doc_id, {A40} AS a, {B40} AS b FROM documents))"
+_SETS = f"(SELECT p_partkey, {SA} AS x, {SB} AS y FROM (SELECT p_partkey, {SQL_LEFT} AS a, {SQL_RIGHT} AS b FROM part))"
 
 
 def _set_query(name: str, expr, sql: str) -> None:
-    query(name, "documents", f"SELECT doc_id, round({sql}, 9) AS value FROM {_SETS}")(lambda df: df.select("doc_id", F.round(expr(SETS[0](), SETS[1]()), 9).alias("value")))
+    query(name, "part", f"SELECT p_partkey, round({sql}, 9) AS value FROM {_SETS}")(lambda df: df.select("p_partkey", F.round(expr(SETS[0](), SETS[1]()), 9).alias("value")))
 
 
 _BOTH = "len(list_intersect(x, y))"
@@ -241,15 +241,15 @@ _set_query("m5_dice", m.dice, f"CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 WHE
 
 
 def _pair_query(name: str, expr, sql: str) -> None:
-    query(name, "documents", f"SELECT doc_id, {sql} AS value FROM (SELECT doc_id, {A40} AS a, {B40} AS b FROM documents)")(lambda df: df.select("doc_id", ASCII(LEFT()).alias("a"), ASCII(RIGHT()).alias("b")).select("doc_id", expr(F.col("a"), F.col("b")).alias("value")))
+    query(name, "part", f"SELECT p_partkey, {sql} AS value FROM (SELECT p_partkey, {SQL_LEFT} AS a, {SQL_RIGHT} AS b FROM part)")(lambda df: df.select("p_partkey", LEFT().alias("a"), RIGHT().alias("b")).select("p_partkey", expr(F.col("a"), F.col("b")).alias("value")))
 
 
 _pair_query("m7_levenshtein", lambda a, b: F.levenshtein(a, b).cast("long"), "levenshtein(a, b)::BIGINT")
 _pair_query("m8_levenshtein_similarity", lambda a, b: F.round(m.levenshtein_similarity(a, b), 9), "CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1.0 - levenshtein(a, b) / greatest(length(a), length(b)), 9) END")
 _pair_query("m11_hamming", lambda a, b: m.hamming(a, b).cast("long"), "CASE WHEN length(a) <> length(b) THEN NULL WHEN length(a) = 0 THEN 0 ELSE hamming(a, b) END::BIGINT")
 _pair_query("m12_hamming_similarity", lambda a, b: F.round(m.hamming_similarity(a, b), 9), "CASE WHEN length(a) <> length(b) THEN -1.0 WHEN length(a) = 0 THEN 1.0 ELSE round(1.0 - hamming(a, b) / length(a), 9) END")
-query("m9_damerau", "documents")(lambda df: df.select("doc_id", m.damerau(LEFT(), RIGHT()).alias("value")))
-query("m10_lcs", "documents")(lambda df: df.select("doc_id", m.lcs_length(LEFT(), RIGHT()).alias("value")))
+query("m9_damerau", "part")(lambda df: df.select("p_partkey", m.damerau(LEFT(), RIGHT()).alias("value")))
+query("m10_lcs", "part")(lambda df: df.select("p_partkey", m.lcs_length(LEFT(), RIGHT()).alias("value")))
 
 # -- dedup -----------------------------------------------------------------------------------------------------------
 query("dg_exact_hash", "documents", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)")(lambda df: dedup.exact_hash_dedup(df).select("doc_id"))
@@ -260,7 +260,9 @@ query("di_line_dedup", "documents", f"WITH l AS (SELECT doc_id, unnest({SQL_LINE
 query("di_line_dedup_by_source", "documents", f"WITH l AS (SELECT doc_id, source, unnest({SQL_LINES}) AS x, generate_subscripts({SQL_LINES}, 1) AS p FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, {SQL_N10.format('x')} ORDER BY doc_id, p) AS k FROM l) SELECT doc_id, md5(string_agg(x, chr(10) ORDER BY p)) AS value FROM r WHERE k = 1 GROUP BY doc_id HAVING string_agg(x, chr(10) ORDER BY p) <> ''")(
     lambda df: dedup.line_dedup(df, scope="source").select("doc_id", F.md5("text").alias("value"))
 )
-query("ds_holdout", "documents", "SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 10 = 0)")(lambda df: dedup.without_known(df.where("doc_id % 10 != 0"), df.where("doc_id % 10 = 0")).select("doc_id"))
+query("ds_holdout", "documents", "SELECT doc_id FROM documents WHERE source <> (SELECT min(source) FROM documents) AND text NOT IN (SELECT text FROM documents WHERE source = (SELECT min(source) FROM documents))")(
+    lambda df: (lambda held: dedup.without_known(df.where(F.col("source") != held), df.where(F.col("source") == held)).select("doc_id"))(df.agg(F.min("source")).first()[0])
+)
 _MAPS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(minhash.permutations(32)))
 SIGS = f"""w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
     g AS (SELECT DISTINCT doc_id, md5(x) AS x FROM (SELECT doc_id, unnest({GRAMS.format(w='w', n=5)}) AS x FROM w)),
@@ -291,9 +293,9 @@ query("a10_merged_signature", "documents", f"WITH {SIGS} SELECT lang, sum(m)::BI
 query("dt_sort_signatures", "documents", f"WITH {SIGS} SELECT row_number() OVER (ORDER BY l, doc_id)::BIGINT AS place, doc_id FROM (SELECT doc_id, list(m ORDER BY i) AS l FROM s GROUP BY doc_id)")(
     lambda df: df.select("doc_id", SIGNATURE().alias("signature")).where("signature is not null").transform(lambda x: x.select(F.row_number().over(Window.orderBy("signature", "doc_id")).cast("long").alias("place"), "doc_id"))
 )
-query("h9_bucket_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.bucket_signature(F.substring("text", 1, 400)))).alias("value")))
-query("h10_prefixed_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.prefixed_signature(F.substring("text", 1, 400)))).alias("value")))
-query("h11_word_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.word_signature(F.substring("text", 1, 400), 64).cast("array<string>"))).alias("value")))
+query("h9_bucket_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.bucket_signature("text"))).alias("value")))
+query("h10_prefixed_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.prefixed_signature("text"))).alias("value")))
+query("h11_word_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.word_signature("text", 64).cast("array<string>"))).alias("value")))
 _SIM = "v AS (SELECT doc_id, ('0x' || substring(md5(x), 1, 7))::BIGINT AS h FROM (SELECT DISTINCT doc_id, unnest(" + SQL_CHARS.format(n=3).replace("text", "lower(text)") + ") AS x FROM documents)), sg AS (SELECT doc_id AS id, sum(CASE WHEN ones * 2 > n THEN 1 << i ELSE 0 END)::BIGINT AS simhash FROM (SELECT doc_id, i::INTEGER AS i, sum((h >> i::INTEGER) & 1) AS ones, count(*) AS n FROM v, range(0, 28) t(i) GROUP BY doc_id, i) GROUP BY doc_id)"
 SIMHASH = lambda df: simhash.portable_simhash(df, g.char_ngrams(F.lower("text"), 3)).toDF("id", "simhash")
 query("h19_simhash", "documents", f"WITH {_SIM} SELECT id, simhash FROM sg")(SIMHASH)
