@@ -185,9 +185,9 @@ query("a12_occurrences", "documents", "SELECT doc_id, (length(text) - length(rep
 SQL_CHARS = "CASE WHEN length(text) >= {n} THEN list_transform(range(1, length(text) - {n} + 2), lambda i: substring(text, i, {n})) ELSE [] END"
 
 
-def _grams(name: str, expr, sql: str) -> None:
+def _grams(name: str, expr, sql: str, source: str = "documents") -> None:
     """Number of grams, of distinct ones, and the least and greatest MD5."""
-    query(name, "documents", f"WITH g AS (SELECT doc_id, unnest({sql}) AS x FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT x) AS n_distinct, min(md5(x)) AS least, max(md5(x)) AS most FROM g GROUP BY doc_id")(
+    query(name, "documents", f"WITH g AS (SELECT doc_id, unnest({sql}) AS x FROM {source}) SELECT doc_id, count(*) AS n, count(DISTINCT x) AS n_distinct, min(md5(x)) AS least, max(md5(x)) AS most FROM g GROUP BY doc_id")(
         lambda df: df.select("doc_id", F.explode(expr()).alias("x")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("n_distinct"), F.min(F.md5("x")).alias("least"), F.max(F.md5("x")).alias("most"))
     )
 
@@ -207,7 +207,7 @@ _word_grams("t4_token_ngrams", lambda: g.ascii_words(T()), lambda w: g.token_ngr
 _grams("t5_nonword_split", lambda: g.nonword_split(ASCII(T())), f"string_split_regex({SQL_ASCII.format('text')}, '[^a-zA-Z0-9_]')")
 _grams("t15_lm_chunks", lambda: g.lm_chunks(T()), f"list_filter({SPACE_WORDS.format('text')}, lambda x: length(x) >= 3)")
 _grams("t16_sentences", lambda: g.sentences(T()), "list_filter(list_transform(string_split(regexp_replace(text, '([。.!?！？]+)', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')")
-_grams("t2_byte_3grams", lambda: g.byte_ngrams(ASCII(T())), f"(CASE WHEN length({SQL_ASCII.format('text')}) >= 3 THEN list_transform(range(1, length({SQL_ASCII.format('text')}) - 1), lambda i: hex(substring({SQL_ASCII.format('text')}, i, 3))) WHEN length({SQL_ASCII.format('text')}) = 0 THEN [] ELSE [hex({SQL_ASCII.format('text')})] END)")
+_grams("t2_byte_3grams", lambda: g.byte_ngrams(ASCII(T())), "CASE WHEN length(a) >= 3 THEN list_transform(range(1, length(a) - 1), lambda i: hex(substring(a, i, 3))) WHEN length(a) = 0 THEN [] ELSE [hex(a)] END", f"(SELECT doc_id, {SQL_ASCII.format('text')} AS a FROM documents)")
 column("t6_code_points", lambda: F.aggregate(g.code_points(T()), F.lit(0).cast("long"), lambda a, x: a + x), "list_sum(list_transform(string_split(text, ''), lambda x: ord(x)))::BIGINT")
 column("t7_spaced_chars", lambda: F.md5(g.spaced_chars(T())), "md5(array_to_string(string_split(text, ''), ' '))")
 column("n14_drop_tokens", lambda: F.size(g.drop_tokens(g.whitespace_words(T()), F.array(F.lit("the"), F.lit("of"), F.lit("der")))).cast("long"), f"len(list_filter({SPACE_WORDS.format('text')}, lambda x: x NOT IN ('the', 'of', 'der')))")
