@@ -65,3 +65,21 @@ def test_similarities(spark):
     rows = df.select(m.damerau("a", "b").alias("d"), m.lcs_similarity("a", "b").alias("l"), m.hamming_similarity(F.col("a"), F.col("b")).alias("h")).collect()
     assert [(r.d, round(r.l, 3), r.h) for r in rows] == [(1, 0.5, 0.0), (0, 1.0, 1.0), (1, 0.667, -1.0)]
     assert pytest.approx(h.band_threshold(16, 8), 1e-6) == (1 / 16) ** (1 / 8)
+
+
+def test_character_and_byte_ngrams_of_any_text(spark):
+    texts = [None, "", "ab", "abc", "a\n\U0001f600b", "éあ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = df.select("text", g.char_ngrams(F.col("text"), 3).alias("c"), g.byte_ngrams(F.col("text"), 3).alias("b")).collect()
+    for r in rows:
+        t, raw = r.text or "", (r.text or "").encode()
+        assert r.c == [t[i : i + 3] for i in range(len(t) - 2)]
+        if raw:
+            assert r.b == [raw[i : i + 3].hex().upper() for i in range(max(1, len(raw) - 2))]
+        else:
+            assert not r.b
+
+
+def test_token_ngrams_of_few_tokens(spark):
+    df = spark.createDataFrame([([],), (["a"],), (["a", "b", "c"],)], "t array<string>")
+    assert [r[0] for r in df.select(g.token_ngrams(F.col("t"), 2)).collect()] == [[], ["a"], ["a b", "b c"]]
