@@ -63,21 +63,27 @@ def share_band(a: Column, b: Column) -> Column:
 
 
 def exploded(docs: DataFrame, signature: Column, b: int, r: int, id_col: str = "doc_id") -> DataFrame:
-    """id, band, key."""
+    """id, band, key. A document without a signature has no keys; ``flags`` and ``cluster`` give it a row from ``ids``."""
     return docs.select(F.col(id_col).alias("id"), signature.alias("s")).where("s is not null").select("id", F.inline(bands(F.col("s"), b, r)))
 
 
-def flags(keys: DataFrame, pooled: bool = False) -> DataFrame:
+def _every(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+
+
+def flags(keys: DataFrame, pooled: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """id, duplicate for rows (id, band, key): whether a key was seen at a smaller id (with ``pooled``, in any band).
 
     Gives what a single pass with a growing set gives. A document is new exactly if it is the first at every one of its
-    keys, so minima and counts suffice and the rows of a hot key never meet.
+    keys, so minima and counts suffice and the rows of a hot key never meet. ``ids`` lists all documents in its first
+    column; those without keys are no duplicates.
     """
     at = ["key"] if pooled else ["band", "key"]
     own = keys.groupBy("id").agg(F.count_distinct(*[F.col(c) for c in at]).alias("d"), F.count(F.lit(1)).alias("n"))
     first = keys.groupBy(*at).agg(F.min("id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("f"))
     again = (F.col("d") < F.col("n")) if pooled else F.lit(False)
-    return own.join(first, "id", "left").select("id", ((F.coalesce("f", F.lit(0)) < F.col("d")) | again).alias("duplicate"))
+    signed = own.join(first, "id", "left").select("id", ((F.coalesce("f", F.lit(0)) < F.col("d")) | again).alias("duplicate"))
+    return signed if ids is None else _every(ids).join(signed, "id", "left").select("id", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
 
 
 def matched_keys(keys: DataFrame) -> DataFrame:
@@ -98,11 +104,12 @@ def star_edges(keys: DataFrame) -> DataFrame:
     return held.join(least, ["band", "key"]).where("id != dst").select(F.col("id").alias("src"), "dst").distinct()
 
 
-def cluster(keys: DataFrame) -> DataFrame:
-    """id, component for every document of ``keys``: documents that share keys, directly or over others."""
+def cluster(keys: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """id, component for every document of ``keys``: documents that share keys, directly or over others. ``ids`` lists
+    all documents in its first column; those without keys are components of their own."""
     c = connected_components(star_edges(keys))
-    ids = keys.select("id").distinct()
-    return ids.join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    every = _every(keys.select("id") if ids is None else ids)
+    return every.join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def candidate_pairs(signed: DataFrame, b: int, r: int) -> DataFrame:
@@ -114,8 +121,9 @@ def candidate_pairs(signed: DataFrame, b: int, r: int) -> DataFrame:
 
 def verified_clusters(docs: DataFrame, threshold: float = 0.8, k: int = 128, b: int = 16, id_col: str = "doc_id", signature: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, component), (candidates, verified, documents)): pairs that share a band are verified by the estimated
-    Jaccard similarity, and what remains is clustered. Documents without a signature are left out."""
-    rows = Stash(docs.select(F.col(id_col).alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature")).where("signature is not null"), "signed").df
+    Jaccard similarity, and what remains is clustered. Documents without a signature are components of their own."""
+    every = Stash(docs.select(F.col(id_col).alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature")), "signed").df
+    rows = every.where("signature is not null")
     classes = Stash(rows.groupBy("signature").agg(F.min("id").alias("id")), "classes").df
     pairs = candidate_pairs(classes, b, k // b)
     sim = pairs.join(classes.toDF("sa", "a"), "a").join(classes.toDF("sb", "b"), "b").withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb")))
@@ -123,7 +131,7 @@ def verified_clusters(docs: DataFrame, threshold: float = 0.8, k: int = 128, b:
     copies = rows.join(classes.withColumnRenamed("id", "first"), "signature").where("id != first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
     good = checked.where(F.col("similarity") >= threshold)
     c = connected_components(good.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(copies))
-    ids = rows.select("id").join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    ids = every.select("id").join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     stats = checked.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("similarity") >= threshold).alias("verified"))
     return ids, stats
 

@@ -272,16 +272,16 @@ SIGS = f"""w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
     k AS (SELECT doc_id AS id, i // 4 AS band, string_agg(m::VARCHAR, '_' ORDER BY i) AS key FROM s GROUP BY doc_id, i // 4)"""
 SIGNATURE = lambda: minhash.portable_signature(T(), 32)
 query("h14_signatures", "documents", f"WITH {SIGS} SELECT doc_id, sum(m)::BIGINT AS total, min(m) AS least FROM s GROUP BY doc_id")(
-    lambda df: df.select("doc_id", SIGNATURE().alias("s")).where("s is not null").select("doc_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min("s").alias("least"))
+    lambda df: df.select("doc_id", SIGNATURE().alias("s")).select("doc_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min("s").alias("least"))
 )
-query("da_minhash_flags", "documents", f"WITH {SIGS}, f AS (SELECT id, min(id) OVER (PARTITION BY band, key) AS first FROM k) SELECT id, bool_or(first < id) AS duplicate FROM f GROUP BY id")(lambda df: minhash.flags(minhash.exploded(df, SIGNATURE(), 8, 4)))
-query("da_minhash_flags_pooled", "documents", f"WITH {SIGS}, f AS (SELECT id, min(id) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY id, key) AS c FROM k) SELECT id, bool_or(first < id OR c > 1) AS duplicate FROM f GROUP BY id")(lambda df: minhash.flags(minhash.exploded(df, SIGNATURE(), 8, 4), pooled=True))
+query("da_minhash_flags", "documents", f"WITH {SIGS}, f AS (SELECT id, min(id) OVER (PARTITION BY band, key) AS first FROM k) SELECT id, bool_or(first < id) AS duplicate FROM f GROUP BY id")(lambda df: minhash.flags(minhash.exploded(df, SIGNATURE(), 8, 4), ids=df.select("doc_id")))
+query("da_minhash_flags_pooled", "documents", f"WITH {SIGS}, f AS (SELECT id, min(id) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY id, key) AS c FROM k) SELECT id, bool_or(first < id OR c > 1) AS duplicate FROM f GROUP BY id")(lambda df: minhash.flags(minhash.exploded(df, SIGNATURE(), 8, 4), pooled=True, ids=df.select("doc_id")))
 query("db_blacklist", "documents", f"WITH {SIGS} SELECT band::INTEGER AS band, count(*) AS n_keys FROM (SELECT band, key FROM k GROUP BY band, key HAVING count(*) > 1) GROUP BY band")(lambda df: minhash.matched_keys(minhash.exploded(df, SIGNATURE(), 8, 4)).groupBy("band").agg(F.count(F.lit(1)).alias("n_keys")))
 query("j7_blacklist_join", "documents", f"WITH {SIGS} SELECT DISTINCT id FROM k WHERE (band, key) IN (SELECT band, key FROM k WHERE id % 10 = 0)")(
     lambda df: (lambda keys: keys.join(keys.where("id % 10 = 0").select("band", "key").distinct(), ["band", "key"], "left_semi").select("id").distinct())(minhash.exploded(df, SIGNATURE(), 8, 4))
 )
 _REACH = "e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (band, key)), r AS (SELECT DISTINCT id, id AS top FROM k UNION SELECT e.a, r.top FROM e JOIN r ON e.b = r.id WHERE r.top < e.a) SELECT id, min(top) AS component FROM r GROUP BY id"
-query("dc_minhash_clusters", "documents", f"WITH RECURSIVE {SIGS}, {_REACH}")(lambda df: minhash.cluster(minhash.exploded(df, SIGNATURE(), 8, 4)))
+query("dc_minhash_clusters", "documents", f"WITH RECURSIVE {SIGS}, {_REACH}")(lambda df: minhash.cluster(minhash.exploded(df, SIGNATURE(), 8, 4), df.select("doc_id")))
 query("dr_drop_list", "documents", f"WITH RECURSIVE {SIGS}, {_REACH.replace('SELECT id, min(top) AS component FROM r GROUP BY id', 'SELECT id FROM r GROUP BY id HAVING min(top) < id')}")(lambda df: dedup.components_to_drop(minhash.star_edges(minhash.exploded(df, SIGNATURE(), 8, 4))))
 _VERIFIED = "c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (band, key) WHERE x.id < y.id), j AS (SELECT a, b, count(*) FILTER (s1.m = s2.m) / 32 AS sim FROM c JOIN s s1 ON s1.doc_id = a JOIN s s2 ON s2.doc_id = b AND s1.i = s2.i GROUP BY a, b), u AS (SELECT a, b FROM j WHERE sim >= 0.8 UNION SELECT b, a FROM j WHERE sim >= 0.8), r AS (SELECT DISTINCT id, id AS top FROM k UNION SELECT u.a, r.top FROM u JOIN r ON u.b = r.id WHERE r.top < u.a) "
 query("de_verified_clusters", "documents", f"WITH RECURSIVE {SIGS}, {_VERIFIED} SELECT id, min(top) AS component FROM r GROUP BY id")(lambda df: minhash.verified_clusters(df, 0.8, 32, 8)[0])
@@ -291,7 +291,7 @@ query("a10_merged_signature", "documents", f"WITH {SIGS} SELECT lang, sum(m)::BI
     lambda df: minhash.merged(df.select("lang", SIGNATURE().alias("signature")).where("signature is not null"), "lang").select("lang", F.aggregate("signature", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 )
 query("dt_sort_signatures", "documents", f"WITH {SIGS} SELECT row_number() OVER (ORDER BY l, doc_id)::BIGINT AS place, doc_id FROM (SELECT doc_id, list(m ORDER BY i) AS l FROM s GROUP BY doc_id)")(
-    lambda df: df.select("doc_id", SIGNATURE().alias("signature")).where("signature is not null").transform(lambda x: x.select(F.row_number().over(Window.orderBy("signature", "doc_id")).cast("long").alias("place"), "doc_id"))
+    lambda df: df.select("doc_id", SIGNATURE().alias("signature")).transform(lambda x: x.select(F.row_number().over(Window.orderBy(F.asc_nulls_last("signature"), "doc_id")).cast("long").alias("place"), "doc_id"))
 )
 query("h9_bucket_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.bucket_signature("text"))).alias("value")))
 query("h10_prefixed_minhash", "documents")(lambda df: df.select("doc_id", F.md5(F.concat_ws(",", minhash.prefixed_signature("text"))).alias("value")))
