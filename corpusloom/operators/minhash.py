@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.hashing import MASK32, murmur3_32, sha1_bits
@@ -119,16 +120,53 @@ def candidate_pairs(signed: DataFrame, b: int, r: int) -> DataFrame:
     return keys.select("band", "key", F.col("id").alias("a")).join(keys.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
 
 
-def verified_clusters(docs: DataFrame, threshold: float = 0.8, k: int = 128, b: int = 16, id_col: str = "doc_id", signature: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """((id, component), (candidates, verified, documents)): pairs that share a band are verified by the estimated
-    Jaccard similarity, and what remains is clustered. Documents without a signature are components of their own."""
-    every = Stash(docs.select(F.col(id_col).alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature")), "signed").df
+def shingle_set(text: Column, n: int = GRAM) -> Column:
+    """Sorted distinct XXH3-64 values of the n-word shingles that ``portable_signature`` hashes; empty for fewer words."""
+
+    @F.pandas_udf("array<long>")
+    def cut(s: pd.Series) -> pd.Series:
+        def one(t):
+            words = [w for w in re.split("[^a-z0-9]+", t.lower()) if w] if t else []
+            return np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + n])) for i in range(len(words) - n + 1)], "u8")).view("i8")
+
+        return s.map(one)
+
+    return cut(text)
+
+
+def set_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of sorted arrays of distinct values, of which not both are empty."""
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
+        return pd.Series([c / (len(p) + len(q) - c) for c, p, q in zip(both, x, y, strict=True)], dtype="f8")
+
+    return share(a, b)
+
+
+def verified_clusters(
+    docs: DataFrame, threshold: float = 0.8, k: int = 128, b: int = 16, id_col: str = "doc_id", signature: Column | None = None, verify: str = "exact"
+) -> tuple[DataFrame, DataFrame]:
+    """((id, component), (candidates, verified)): pairs that share a band are verified, and what remains is clustered.
+
+    ``verify``: "exact" by the Jaccard similarity of the word shingles (as 64-bit hashes), "estimate" by that of the
+    signatures. Candidates are pairs of distinct shingle sets, or of distinct signatures; equal ones are one class.
+    Documents without a signature are components of their own.
+    """
+    if verify not in ("exact", "estimate"):
+        raise ValueError(f"verify = {verify}")
+    signed = docs.select(F.col(id_col).alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature"), *([shingle_set(F.col("text")).alias("members")] if verify == "exact" else []))
+    by, alike = ("members", set_jaccard) if verify == "exact" else ("signature", estimated_jaccard)
+    every = Stash(signed.withColumn("name", F.when(F.col("signature").isNotNull(), F.sha2(F.array_join(F.col(by).cast("array<string>"), "_"), 256))), "signed").df
     rows = every.where("signature is not null")
-    classes = Stash(rows.groupBy("signature").agg(F.min("id").alias("id")), "classes").df
-    pairs = candidate_pairs(classes, b, k // b)
-    sim = pairs.join(classes.toDF("sa", "a"), "a").join(classes.toDF("sb", "b"), "b").withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb")))
+    classes = Stash(rows.groupBy("name").agg(F.min("id").alias("id")), "classes").df
+    firsts = Stash(rows.join(classes, ["name", "id"]).dropDuplicates(["id"]), "firsts").df
+    pairs = candidate_pairs(firsts.select("id", "signature"), b, k // b)
+    values = firsts.select("id", by)
+    sim = pairs.join(values.toDF("a", "sa"), "a").join(values.toDF("b", "sb"), "b").withColumn("similarity", alike(F.col("sa"), F.col("sb")))
     checked = Stash(sim.select("a", "b", "similarity"), "checked").df
-    copies = rows.join(classes.withColumnRenamed("id", "first"), "signature").where("id != first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    copies = rows.select("id", "name").join(classes.withColumnRenamed("id", "first"), "name").where("id != first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
     good = checked.where(F.col("similarity") >= threshold)
     c = connected_components(good.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(copies))
     ids = every.select("id").join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -284,9 +284,9 @@ _REACH = "e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (ba
 query("dc_minhash_clusters", "documents", f"WITH RECURSIVE {SIGS}, {_REACH}")(lambda df: minhash.cluster(minhash.exploded(df, SIGNATURE(), 8, 4), df.select("doc_id")))
 query("dr_drop_list", "documents", f"WITH RECURSIVE {SIGS}, {_REACH.replace('SELECT id, min(top) AS component FROM r GROUP BY id', 'SELECT id FROM r GROUP BY id HAVING min(top) < id')}")(lambda df: dedup.components_to_drop(minhash.star_edges(minhash.exploded(df, SIGNATURE(), 8, 4))))
 _VERIFIED = "c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (band, key) WHERE x.id < y.id), j AS (SELECT a, b, count(*) FILTER (s1.m = s2.m) / 32 AS sim FROM c JOIN s s1 ON s1.doc_id = a JOIN s s2 ON s2.doc_id = b AND s1.i = s2.i GROUP BY a, b), u AS (SELECT a, b FROM j WHERE sim >= 0.8 UNION SELECT b, a FROM j WHERE sim >= 0.8), r AS (SELECT DISTINCT id, id AS top FROM k UNION SELECT u.a, r.top FROM u JOIN r ON u.b = r.id WHERE r.top < u.a) "
-query("de_verified_clusters", "documents", f"WITH RECURSIVE {SIGS}, {_VERIFIED} SELECT id, min(top) AS component FROM r GROUP BY id")(lambda df: minhash.verified_clusters(df, 0.8, 32, 8)[0])
-query("de_clusters_by_size", "documents", f"WITH RECURSIVE {SIGS}, {_VERIFIED}, z AS (SELECT id, min(top) AS component FROM r GROUP BY id) SELECT component, count(*) AS size FROM z GROUP BY component HAVING count(*) > 1")(lambda df: minhash.clusters_by_size(minhash.verified_clusters(df, 0.8, 32, 8)[0]))
-query("a11_candidate_stats", "documents")(lambda df: minhash.verified_clusters(df, 0.8, 32, 8)[1])
+query("de_verified_clusters", "documents", f"WITH RECURSIVE {SIGS}, {_VERIFIED} SELECT id, min(top) AS component FROM r GROUP BY id")(lambda df: minhash.verified_clusters(df)[0])
+query("de_clusters_by_size", "documents", f"WITH RECURSIVE {SIGS}, {_VERIFIED}, z AS (SELECT id, min(top) AS component FROM r GROUP BY id) SELECT component, count(*) AS size FROM z GROUP BY component HAVING count(*) > 1")(lambda df: minhash.clusters_by_size(minhash.verified_clusters(df)[0]))
+query("a11_candidate_stats", "documents")(lambda df: minhash.verified_clusters(df)[1])
 query("a10_merged_signature", "documents", f"WITH {SIGS} SELECT lang, sum(m)::BIGINT AS total FROM (SELECT lang, i, min(m) AS m FROM s JOIN documents USING (doc_id) GROUP BY lang, i) GROUP BY lang")(
     lambda df: minhash.merged(df.select("lang", SIGNATURE().alias("signature")).where("signature is not null"), "lang").select("lang", F.aggregate("signature", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 )
