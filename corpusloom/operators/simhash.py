@@ -66,7 +66,8 @@ def block_keys(sig: Column, bits: int = FEATURE_BITS, distance: int = DISTANCE,
 
 
 def near_edges(signed: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bits: int = FEATURE_BITS, id_col: str = "id", sig: str = "simhash") -> DataFrame:
-    """(src, dst) between the first documents of distinct signatures within ``distance``, and from copies to them."""
+    """(src, dst) between the first documents of distinct signatures within ``distance``, and from copies to them. A null
+    signature links to nothing."""
     rows = Stash(signed.select(F.col(id_col).alias("id"), F.col(sig).alias("sig")), "simhashes").df
     first = Stash(rows.groupBy("sig").agg(F.min("id").alias("id")), "distinct").df
     keyed = first.select("id", "sig", F.inline(block_keys(F.col("sig"), bits, distance, blocks)))

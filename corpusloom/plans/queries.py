@@ -300,7 +300,7 @@ _SIM = "v AS (SELECT doc_id, ('0x' || substring(md5(x), 1, 7))::BIGINT AS h FROM
 SIMHASH = lambda df: simhash.portable_simhash(df, g.char_ngrams(F.lower("text"), 3)).toDF("id", "simhash")
 query("h19_simhash", "documents", f"WITH {_SIM} SELECT id, simhash FROM sg")(SIMHASH)
 query("df_simhash_clusters", "documents", f"WITH RECURSIVE {_SIM}, e AS (SELECT x.id AS a, y.id AS b FROM sg x, sg y WHERE bit_count(xor(x.simhash, y.simhash)) <= 1), r AS (SELECT id, id AS top FROM sg UNION SELECT e.a, r.top FROM e JOIN r ON e.b = r.id WHERE r.top < e.a) SELECT id, min(top) AS component FROM r GROUP BY id")(
-    lambda df: simhash.simhash_clusters(SIMHASH(df), distance=1, blocks=4, bits=28)
+    lambda df: simhash.simhash_clusters(df.select(F.col("doc_id").alias("id"), F.when(F.length(F.lower("text")) >= simhash.LEAST, simhash.native_simhash(T())).alias("simhash")))
 )
 query("h19_simhash_native", "documents")(lambda df: df.select("doc_id", simhash.native_simhash(T()).alias("value")))
 _INTERVALS = "(SELECT o_custkey AS k, (o_orderkey % 97)::BIGINT AS start, (o_orderkey % 97 + 1 + o_orderkey % 5)::BIGINT AS stop FROM orders)"
