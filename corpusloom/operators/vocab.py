@@ -15,13 +15,15 @@ def mask_digit_tokens(vocab: DataFrame) -> DataFrame:
 
 
 def merge_vocab(base: DataFrame, extra: DataFrame, first: int = 1024, last: int = 65529) -> DataFrame:
-    """token, id: ``base`` and those tokens of ``extra`` that it lacks, with the smallest free ids in token order."""
+    """token, id: ``base`` and those tokens of ``extra`` that it lacks, with the smallest free ids in token order.
+    Tokens beyond the last free id have a null id."""
     new = extra.select("token").distinct().join(base, "token", "left_anti")
     free = base.sparkSession.range(first, last + 1).join(base.select(F.col("id").cast("long").alias("id")), "id", "left_anti")
-    # A vocabulary has at most 65,536 ids, so both numberings are over small tables.
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("token")))
+    # At most last - first + 1 tokens get an id, so both numberings are over small tables however long ``extra`` is.
+    numbered = new.orderBy("token").limit(last - first + 1).withColumn("n", F.row_number().over(Window.orderBy("token")))
     slots = free.withColumn("n", F.row_number().over(Window.orderBy("id")))
-    return base.select("token", F.col("id").cast("long").alias("id")).union(numbered.join(slots, "n").select("token", "id"))
+    given = numbered.join(slots, "n").select("token", "id")
+    return base.select("token", F.col("id").cast("long").alias("id")).union(new.join(given, "token", "left").select("token", "id"))
 
 
 class LongestMatch:

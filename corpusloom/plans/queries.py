@@ -331,8 +331,9 @@ query("j8_drop_listed", None, "SELECT doc_id FROM documents WHERE doc_id NOT IN
 query("j11_first_child_paths", "conversations", "WITH RECURSIVE m AS (SELECT conv_id || '-' || turn AS id, CASE WHEN turn = 0 THEN 'nan' ELSE conv_id || '-' || (turn - 1) // 2 END AS parent, turn FROM conversations), c AS (SELECT parent, min_by(id, turn) AS child FROM m WHERE parent <> 'nan' GROUP BY parent), r AS (SELECT id AS root, 0 AS depth, id AS message FROM m WHERE parent = 'nan' UNION ALL SELECT root, depth + 1, child FROM r JOIN c ON r.message = c.parent) SELECT * FROM r")(
     lambda df: dialogue.first_child_paths(df.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), F.when(F.col("turn") == 0, "nan").otherwise(F.concat_ws("-", "conv_id", F.floor((F.col("turn") - 1) / 2))).alias("parent_id"), F.col("turn").alias("pos")))
 )
+_tokens = lambda df: df.select(F.explode(g.whitespace_words(T())).alias("token")).distinct()
 query("j13_vocab_merge", None, "WITH b AS (SELECT 'w' || p_partkey AS token, (p_partkey + 1000)::BIGINT AS id FROM part WHERE p_partkey % 3 = 0), e AS (SELECT DISTINCT 'w' || p_partkey AS token FROM part WHERE p_partkey % 2 = 0 AND p_partkey <= 1000), n AS (SELECT token, row_number() OVER (ORDER BY token) AS n FROM e WHERE token NOT IN (SELECT token FROM b)), f AS (SELECT i AS id, row_number() OVER (ORDER BY i) AS n FROM range(1024, 65530) t(i) WHERE i NOT IN (SELECT id FROM b)) SELECT token, id FROM b UNION ALL SELECT token, id::BIGINT FROM n JOIN f USING (n)")(
-    lambda spark, d: (lambda p: vocab.merge_vocab(p.where("p_partkey % 3 = 0").select(F.concat(F.lit("w"), "p_partkey").alias("token"), (F.col("p_partkey") + 1000).alias("id")), p.where("p_partkey % 2 = 0 and p_partkey <= 1000").select(F.concat(F.lit("w"), "p_partkey").alias("token"))))(read(spark, d, "part"))
+    lambda spark, d: vocab.merge_vocab(_tokens(read(spark, d, "benchmark")).select("token", (F.row_number().over(Window.orderBy("token")) + 1023).alias("id")), _tokens(read(spark, d, "documents")))
 )
 query("n15_digit_vocab", "part", "SELECT p_partkey::BIGINT AS id, min(p_partkey) OVER (PARTITION BY regexp_replace(p_name || p_partkey % 7, '[0-9]', '0', 'g'))::BIGINT AS target FROM part")(lambda df: vocab.mask_digit_tokens(df.select(F.concat("p_name", F.col("p_partkey") % 7).alias("token"), F.col("p_partkey").cast("long").alias("id"))))
 _U = "('0x' || substring(md5(doc_id::VARCHAR), 1, 7))::BIGINT / 268435456.0"
