@@ -278,7 +278,7 @@ query("da_minhash_flags", "documents", f"WITH {SIGS}, f AS (SELECT id, min(id) O
 query("da_minhash_flags_pooled", "documents", f"WITH {SIGS}, f AS (SELECT id, min(id) OVER (PARTITION BY key) AS first, count(*) OVER (PARTITION BY id, key) AS c FROM k) SELECT id, bool_or(first < id OR c > 1) AS duplicate FROM f GROUP BY id")(lambda df: minhash.flags(minhash.exploded(df, SIGNATURE(), 8, 4), pooled=True, ids=df.select("doc_id")))
 query("db_blacklist", "documents", f"WITH {SIGS} SELECT band::INTEGER AS band, count(*) AS n_keys FROM (SELECT band, key FROM k GROUP BY band, key HAVING count(*) > 1) GROUP BY band")(lambda df: minhash.matched_keys(minhash.exploded(df, SIGNATURE(), 8, 4)).groupBy("band").agg(F.count(F.lit(1)).alias("n_keys")))
 query("j7_blacklist_join", "documents", f"WITH {SIGS} SELECT DISTINCT id FROM k WHERE (band, key) IN (SELECT band, key FROM k WHERE id % 10 = 0)")(
-    lambda df: (lambda keys: keys.join(keys.where("id % 10 = 0").select("band", "key").distinct(), ["band", "key"], "left_semi").select("id").distinct())(minhash.exploded(df, SIGNATURE(), 8, 4))
+    lambda df: (lambda keys: keys.join(minhash.matched_keys(keys), ["band", "key"], "left_semi").select("id").distinct())(minhash.exploded(df, SIGNATURE(), 8, 4))
 )
 _REACH = "e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (band, key)), r AS (SELECT DISTINCT id, id AS top FROM k UNION SELECT e.a, r.top FROM e JOIN r ON e.b = r.id WHERE r.top < e.a) SELECT id, min(top) AS component FROM r GROUP BY id"
 query("dc_minhash_clusters", "documents", f"WITH RECURSIVE {SIGS}, {_REACH}")(lambda df: minhash.cluster(minhash.exploded(df, SIGNATURE(), 8, 4), df.select("doc_id")))
@@ -344,7 +344,7 @@ query("o4_offset_limit", "documents", "SELECT doc_id FROM documents ORDER BY doc
 query("u1_union_of_corpora", None, "SELECT 'documents' AS corpus, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents UNION ALL SELECT 'benchmark', count(*), sum(length(text))::BIGINT FROM benchmark UNION ALL SELECT 'conversations', count(*), sum(length(text))::BIGINT FROM conversations")(
     lambda spark, d: scoring.weighted_mix({t: (read(spark, d, t).select(F.col(k).alias("doc_id"), "text"), 1.0) for t, k in (("documents", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id"))}).groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 )
-query("u2_symmetric_difference", "documents", "(SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")(lambda df: scoring.symmetric_difference(df.where("doc_id % 2 = 0").select("doc_id"), df.where("doc_id % 3 = 0").select("doc_id")))
+query("u2_symmetric_difference", None, "(SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")(lambda spark, d: scoring.symmetric_difference(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").select("doc_id")))
 column("u4_lost_characters", lambda: F.size(vocab.lost_characters(T(), ASCII(T()))).cast("long"), f"len(list_filter(list_distinct(string_split(text, '')), lambda x: NOT list_contains(string_split({SQL_ASCII.format('text')}, ''), x)))")
 
 # -- dialogue and tokens ---------------------------------------------------------------------------------------------
