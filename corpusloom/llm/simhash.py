@@ -56,14 +56,16 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype="u8").view("i8")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)``: the fingerprint of each row as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha: bool = False) -> DataFrame:
+    """``(id, fp)``: the fingerprint of each row as a signed long; with ``sha`` also the SHA-256 of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed([fingerprint(t) for t in b.column(1).to_pylist()]))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed([fingerprint(t) for t in b.column(1).to_pylist()])), *b.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    names = ["id", "fp", "sha"] if sha else ["id", "fp"]
+    extra = [F.unhex(F.sha2(text_of(text_col), 256)).alias("sha")] if sha else []
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), *extra).mapInArrow(run, "id long, fp long" + ", sha binary" * sha)
 
 
 # -- the plan: partitions of bits and candidate counts ---------------------------------------------------------------
@@ -268,6 +270,18 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, den
     return sparse.select("src", "dst").union(crowded.select("a", "b").mapInArrow(compare, "src long, dst long"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int = DISTANCE, parts: int = PARTS, dense: int = DENSE, sha: bool = False) -> DataFrame:
+    """The rows of ``fingerprints`` with root, which names the group by a fingerprint, and component_id."""
+    held = Stash(fingerprints(docs, id_col, text_col, sha), "fingerprints").df
+    distinct = Stash(held.groupBy("fp").agg(F.min("id").alias("least")), "distinct").df
+    linked = Stash(connected_components(links(distinct, distance, parts, dense)), "linked").df
+    named = distinct.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    held_names = Stash(named, "named").df
+    least = Stash(held_names.groupBy("root").agg(F.min("least").alias("component_id")), "least").df
+    by_fp = Stash(held_names.join(least, "root").select("fp", "root", "component_id"), "by_fp").df
+    return held.join(by_fp, "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, parts: int = PARTS, dense: int = DENSE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -276,17 +290,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other row but is never its name (unless all ids of it are null). An empty table gives an empty result. Other
     columns are not looked at.
     """
-    held = Stash(fingerprints(docs, id_col, text_col), "fingerprints").df
-    distinct = Stash(held.groupBy("fp").agg(F.min("id").alias("least")), "distinct").df
-    linked = Stash(connected_components(links(distinct, distance, parts, dense)), "linked").df
-    named = distinct.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    held_names = Stash(named, "named").df
-    least = Stash(held_names.groupBy("root").agg(F.min("least").alias("component_id")), "least").df
-    by_fp = Stash(held_names.join(least, "root").select("fp", "component_id"), "by_fp").df
-    return held.join(by_fp, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, distance, parts, dense).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies, that of the smallest id; all columns stay."""
-    first = near_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keep_listed(docs, first.select(F.col("doc_id").alias("id")), id_col)
+    """``docs`` with one row of each group of near copies, that of the smallest id (a null id being the largest) and,
+    of several with that id, of the smallest SHA-256 of the text; all columns stay."""
+    rows = _grouped(docs, id_col, text_col, sha=True)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("row"))
+    return keep_listed(docs, first.select("row.id", "row.sha"), id_col, text_col)
