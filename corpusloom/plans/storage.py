@@ -51,5 +51,14 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Inputs of at most so many bytes are dealt out anew where they come from fewer files than there are cores.
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it is small and comes from few files, each of which one task would read alone.
+    Larger inputs, and those of many files, are left as they are: nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = 0 < len(df.inputFiles()) < cores
+    small = few and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    return df.repartition(cores) if small else df
