@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.llm.batches import rows, table
 from corpusloom.llm.keys import text_of
 from corpusloom.llm.tokens import encoder
 from corpusloom.plans.ordering import numbered_within
@@ -32,25 +33,25 @@ CAPACITY, END = 1024, 2
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END, control_text: bool = False) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32. ``control_text``: see ``llm.tokens``."""
+
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, True).encode
+        encode = encoder(tokenizer, True, control_text).encode
         end = int(end_id).to_bytes(4, "little")
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = []
+            for doc, text in rows(b, 0, 1):
                 ids = memoryview(encode(text) + end)
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
                     size = (n - at - 1) % capacity + 1 if at == 0 else capacity
-                    rows.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    found.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
                     at, k = at + size, k + 1
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield table(found, names, kinds)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, _PIECES)
 
@@ -137,10 +138,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
-    """Add sequence_id and offset to rows that have an integer length from 1 to ``capacity``."""
-    ranked = Stash(numbered_within(rows, length, list(order), "rank"), "ranked").df
-    counts = {r[0]: r[1] for r in ranked.groupBy(length).count().collect()}  # at most ``capacity`` rows
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32")) -> DataFrame:
+    """Add sequence_id and offset to pieces of an integer length from 1 to ``capacity``. ``pieces`` is read twice, so it
+    should be a written table."""
+    ranked = numbered_within(pieces, length, list(order), "rank")
+    counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
     runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by length: first rank, first sequence, offset
     used: dict[int, int] = defaultdict(int)
     sequence = 0
@@ -152,7 +154,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length: str = "length", orde
             offset += x
         sequence += n
     # One run per slot of a pattern; the patterns are bounded by the sequence length, not by the rows.
-    tables = rows.sparkSession.sparkContext.broadcast({x: tuple(np.array(c, "i8") for c in zip(*r, strict=True)) for x, r in runs.items()})
+    tables = pieces.sparkSession.sparkContext.broadcast({x: tuple(np.array(c, "i8") for c in zip(*r, strict=True)) for x, r in runs.items()})
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +172,12 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, length: str = "length", orde
     return ranked.mapInArrow(place, schema)
 
 
-def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END, control_text: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Repeated rows are packed each for itself, and a null id stays null. An
-    empty table gives an empty result. Other columns are not looked at.
+    empty table gives an empty result. Other columns are not looked at. A control string in a text is what the library's
+    ``encode`` makes of it unless ``control_text`` is set.
     """
-    held = Stash(pieces(docs, tokenizer, id_col, text_col, capacity, end_id), "pieces").df
+    held = Stash(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, control_text), "pieces").df
     return pack(held, capacity)

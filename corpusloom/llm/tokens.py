@@ -4,13 +4,17 @@ For both vocabularies of the library's files, a token ends before a blank or lin
 it (or a second line feed): a byte-level pre-token starts there, and a word-end vocabulary drops white space. So a text
 is cut there. The ids of a piece are kept in a bounded table as the bytes of unsigned 32-bit little-endian integers;
 those of a new piece are put together from its pre-tokens, whose ids come from the library's own model. A text with
-blanks beside other white space, or a piece with letters beyond the Latin blocks, goes through the library as it is. The ids are always those that the
-library gives for the whole text; control strings in a text are ordinary text.
+blanks beside other white space, or a piece with letters beyond the Latin blocks, goes through the library as it is. The
+ids are always those that the library gives for the whole text.
+
+A control string of the vocabulary that occurs in a text is what the library's ``encode`` makes of it, a control token;
+with ``control_text=True`` it is ordinary text, which is the safe way for texts that users wrote.
 """
 
 from __future__ import annotations
 
 import os
+import sys
 from array import array
 from collections.abc import Callable
 
@@ -20,6 +24,8 @@ import regex
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LAST_LATIN = "ɏ"
+#: Bytes of the table of pieces (or of counts) that a worker holds, and about what an entry takes beside key and value.
+TABLE_BYTES, ENTRY_BYTES = 32 << 20, 100
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,17 +40,28 @@ class _Uncut(Exception):
 
 
 class _Memo(dict):
-    """A table that computes what it lacks."""
+    """A table that computes what it lacks, of at most about ``most_bytes``.
+
+    It has two generations of half the bytes each: when the young one is full it becomes the old one, and what is asked
+    for again moves back. So frequent keys stay, whatever the number of rare ones.
+    """
 
-    def __init__(self, make: Callable[[str], bytes | int], entries: int, longest: int = 48):
+    def __init__(self, make: Callable[[str], bytes | int], most_bytes: int, longest: int = 48):
         super().__init__()
-        self.make, self.entries, self.longest = make, entries, longest
+        self.make, self.half, self.longest = make, most_bytes // 2, longest
+        self.old: dict[str, bytes | int] = {}
+        self.held = 0
 
     def __missing__(self, key: str) -> bytes | int:
-        value = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.entries:
+            if self.held > self.half:
+                self.old = dict(self)
                 self.clear()
+                self.held = 0
+            self.held += sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
             self[key] = value
         return value
 
@@ -53,19 +70,22 @@ class Encoder:
     """Encodes texts to id bytes with the tokenizers file at ``path``.
 
     ``byte_level``: white space is part of the tokens (else it is dropped and letters are lower-cased first).
+    ``control_text``: control strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, byte_level: bool, entries: int = 900_000):
+    def __init__(self, path: str, byte_level: bool, control_text: bool = False, table_bytes: int = TABLE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = control_text
+        self.controls = () if control_text else tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.letters, self.byte_level = _byte_letters(), byte_level
         self.find = regex.compile(BYTE_LEVEL if byte_level else WORD_LEVEL).findall
         self.model, self.normal = self.library.model, self.library.normalizer
-        self.cores, self.pieces = _Memo(self._core, entries // 6), _Memo(self._piece, entries)
-        self.counts = _Memo(self._pretoken, entries)
+        self.lead = self.letters[ord(" ")] if byte_level else ""
+        self.cores, self.pieces = _Memo(self._core, table_bytes // 8), _Memo(self._piece, table_bytes)
+        self.counts = _Memo(self._pretoken, table_bytes)
         self.token_count = self.counts.__getitem__  # the number of ids of a pre-token
 
     def whole(self, text: str) -> bytes:
@@ -79,11 +99,20 @@ class Encoder:
     def _pretoken(self, token: str) -> int:
         return len(self.whole(token) if not token.isascii() and max(token) > LAST_LATIN else self._core(token)) // 4
 
+    def _word(self, word: str) -> bytes:
+        """Of an ASCII word behind a blank, which needs no table of letters."""
+        return array("I", [t.id for t in self.model.tokenize(self.lead + word)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         """Of what stands behind a blank, or of a line feed and what stands behind it."""
         if piece.isascii():
             if not self.byte_level:
                 piece = piece.lower()
+            if piece.isalpha():
+                return self._word(piece)
+            word = piece[:-1]
+            if word.isalpha() and piece[-1] in ".,;:!?":
+                return (self.pieces.get(word) or self._word(word)) + self.cores[piece[-1]]
         elif max(piece) > LAST_LATIN:
             piece = "\n" * piece.startswith("\n") + self._stripped(piece)
             return self.whole(piece if piece[0] == "\n" else " " + piece)
@@ -108,6 +137,8 @@ class Encoder:
         # Of a run of white space all but the last is one token, so longer runs of line feeds stay whole.
         if "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"):
             return self.whole(text)
+        if any(c in text for c in self.controls):
+            return self.whole(text)
         head, *pieces = text.replace("\n", " \n").split(" ")
         try:
             return b"".join([self.whole(head), *map(self.pieces.__getitem__, pieces)])
@@ -118,8 +149,10 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, byte_level: bool) -> Encoder:
-    """One per worker process."""
-    if (path, byte_level) not in _ENCODERS:
-        _ENCODERS[path, byte_level] = Encoder(path, byte_level)
-    return _ENCODERS[path, byte_level]
+def encoder(path: str, byte_level: bool, control_text: bool = False) -> Encoder:
+    """One per worker process; a worker that turns to another vocabulary lets the one before go."""
+    key = (path, byte_level, control_text)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]

@@ -14,9 +14,7 @@ PATH = vocabulary("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("capacity,seed", [(16, 0), (64, 1), (64, 2), (100, 3)])
@@ -40,11 +38,12 @@ def test_plan_of_nothing_and_of_equal_items():
     assert sum(n for _, n in plan({8: 5, 4: 2}, 8)) == 6
 
 
-def test_against_the_library(odd_docs):
+def test_against_the_library(odd_docs, make_docs):
     library_ids = library()
-    rows = [r.asDict() for r in packed(odd_docs, PATH, capacity=64).collect()]
+    docs = odd_docs.union(make_docs([(70, "a <|endoftext|> in the text, <|startoftext|> too\n<|endoftext|>")]))
+    rows = [r.asDict() for r in packed(docs, PATH, capacity=64).collect()]
     want = Counter()
-    for r in odd_docs.collect():
+    for r in docs.collect():
         ids = np.array([*library_ids.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
         first = (len(ids) - 1) % 64 + 1
         cuts = [0, *range(first, len(ids) + 1, 64)]

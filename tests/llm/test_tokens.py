@@ -5,23 +5,41 @@ import numpy as np
 import pytest
 
 from corpusloom.llm.queries import vocabulary
-from corpusloom.llm.token_files import TokenFileReader, TokenFileWriter, token_file_round_trip
+from corpusloom.llm.token_files import TokenFileReader, TokenFileWriter, requested_documents, token_file_round_trip, write_token_files
 from corpusloom.llm.tokens import Encoder
 
 
+@pytest.mark.parametrize("control_text", [False, True])
 @pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_encoder_equals_the_library(name, byte_level):
-    e = Encoder(vocabulary(name), byte_level, entries=50)
+def test_encoder_equals_the_library(name, byte_level, control_text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(name))  # as it is: the call that the contract names
+    library.encode_special_tokens = control_text
+    e = Encoder(vocabulary(name), byte_level, control_text, table_bytes=20_000)
     r = random.Random(7)
-    letters = ["a", "b", "The", "T", " ", " ", "\n", "\n", "\t", "é", "'s", "'", "1", "12", "!", "　", "́", "ß", "Σ", "<|endoftext|>", "\x1c", "中", "İ", ".", ","]
-    for _ in range(8000):
+    letters = ["a", "b", "The", "T", " ", " ", "\n", "\n", "\t", "é", "'s", "'", "1", "12", "!", "　", "́", "ß", "Σ", "<|endoftext|>", "<|startoftext|>", "\x1c", "中", "İ", ".", ","]
+    for _ in range(6000):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 10)))
-        assert e.encode(text) == e.whole(text), repr(text)
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_tables_stay_within_their_bytes():
+    import sys
+
+    e = Encoder(vocabulary("byte_bpe_50k.json"), True, table_bytes=200_000)
+    r = random.Random(1)
+    for _ in range(300):
+        text = " ".join("".join(r.choices("abcdefgh", k=9)) for _ in range(50))
+        assert e.encode(text) == e.whole(text)
+        held = sum(sys.getsizeof(k) + sys.getsizeof(v) for t in (e.pieces, e.pieces.old) for k, v in t.items())
+        assert held < 220_000
 
 
 def test_round_trip(odd_docs, make_docs):
     path = vocabulary("word_bpe_49k.json")
     e = Encoder(path, False)
+    odd_docs = odd_docs.union(make_docs([(71, "a <|endoftext|> b"), (9, "z"), (9, "a")]))
     data = [(r.doc_id, np.frombuffer(e.whole(r.text or "") + b"\2\0\0\0", "<u4")) for r in odd_docs.collect()]
     got = token_file_round_trip(odd_docs, path).collect()
     assert sorted((repr(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((repr(i), len(x), zlib.crc32(x.tobytes())) for i, x in data)
@@ -34,6 +52,35 @@ def test_round_trip(odd_docs, make_docs):
     assert token_file_round_trip(make_docs([]), path).count() == 0
 
 
+def test_rows_that_share_an_id_have_a_fixed_order(make_docs, tmp_path):
+    path, rows = vocabulary("word_bpe_49k.json"), [(k % 3, f"text {k % 50}") for k in range(300)] + [(None, f"n {k}") for k in range(40)]
+    a, b = (sorted((r.start, r.doc_id, r.ids_crc32) for r in token_file_round_trip(make_docs(x), path).collect()) for x in (rows, rows[::-1]))
+    assert a == b and len(a) == 340
+
+
+def test_requested_documents_touch_their_frames_only(spark, make_docs, tmp_path):
+    uri = f"file://{tmp_path}/get.zst"
+    w = TokenFileWriter(uri, frame_bytes=400)
+    for i in [None, *range(0, 400, 2)]:
+        w.add(i, np.arange((i or 0) % 17, dtype="<u4").tobytes())
+    w.commit()
+    r = TokenFileReader(uri)
+    assert len(r.table) > 10
+    for i in (0, 2, 200, 398, None):
+        before = r.frames_read
+        (ids,) = r.get(i)
+        assert len(ids) == (i or 0) % 17 and r.frames_read == before + 1
+    before = r.frames_read
+    assert r.get(-1) == [] and r.get(1000) == [] and r.frames_read == before
+    path = vocabulary("word_bpe_49k.json")
+    docs = make_docs([(i, f"word{i} " * (i % 5)) for i in range(300)] + [(5, "again five"), (None, "no id")])
+    files = write_token_files(docs, f"file://{tmp_path}/files", path)
+    wanted = spark.createDataFrame([(5,), (7,), (None,), (12345,), (7,), (299,)], "doc_id long")
+    e = Encoder(path, False)
+    want = sorted((repr(x.doc_id), [*np.frombuffer(e.whole(x.text), "<u4").tolist(), 2]) for x in docs.collect() if x.doc_id in (5, 7, 299, None))
+    assert sorted((repr(x.doc_id), list(x.ids)) for x in requested_documents(files, wanted).collect()) == want
+
+
 def test_frames_are_read_alone_and_checked(tmp_path):
     uri = f"file://{tmp_path}/a.zst"
     w = TokenFileWriter(uri, frame_bytes=64)
