@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.llm.batches import values
 from corpusloom.llm.keys import text_of
-from corpusloom.llm.toxicity import held_out, labelled_sample
+from corpusloom.llm.toxicity import GRADES, held_out, labelled_sample
 
 BUCKETS = 1 << 18
 #: Bounds of the training sample: texts of each grade, and bytes of text.
@@ -33,7 +34,7 @@ _CLASSES = {c: "9" if chr(c).isdigit() else "X" if chr(c).isupper() else "x" if
 
 def shape(token: str) -> str:
     """Every letter and digit as its class, runs of one character as that character."""
-    return _RUNS.sub(r"\1", token.translate(_CLASSES))[:24]
+    return _RUNS.sub(r"\1", token.translate(_CLASSES))
 
 
 def _bucket(kind: str, value: str) -> int:
@@ -141,10 +142,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     tail_probability is that of the ``best`` highest grades together; a row is selected if it reaches ``cut``. The model
     is fitted on at most ``sample_rows`` labelled rows of each grade and ``sample_bytes`` of text, never on held-out ids.
     Null and empty texts are read as empty. Repeated rows each keep their row; a null id stays null. Null labels are
-    ignored; without two grades nothing can be learnt and all texts get the one there is. An empty table gives an
-    empty result. Columns other than id and text are not looked at.
+    ignored; without two grades nothing can be learnt and all texts get the one there is; more than GRADES grades raise
+    ValueError. An empty table gives an empty result. Columns other than id and text are not looked at.
     """
-    grades = [r[0] for r in labels.where(F.col(label).isNotNull()).select(F.col(label).cast("int")).distinct().limit(1000).collect()]
+    grades = [r[0] for r in labels.where(F.col(label).isNotNull()).select(F.col(label).cast("int")).distinct().limit(GRADES + 1).collect()]
     rows = labelled_sample(docs, labels, label, dict.fromkeys(grades, sample_rows), sample_bytes, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in rows], [y for _, y in rows]))  # BUCKETS numbers
 
@@ -152,7 +153,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         model = shared.value
         grades = np.array(model.grades, "f8")
         for b in batches:
-            p = np.array([model.probabilities(t) for t in b.column(1).to_pylist()]).reshape(-1, len(grades))
+            p = np.array([model.probabilities(t) for t in values(b.column(1))]).reshape(-1, len(grades))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p @ grades), pa.array(p[:, -best:].sum(axis=1))], names=["doc_id", "expected_grade", "tail_probability"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")

@@ -2,10 +2,14 @@
 
 A word is the mean of the embeddings of its character n-grams (3 to 5, with the word's ends marked) and of itself, all
 hashed into one table; a window of consecutive words is the mean of its words, and a linear softmax over two classes
-reads it. Embeddings and softmax are trained jointly in numpy. A text's score is that of its most toxic window, so a
-few words count in a text of any length: in training, clean texts give all their windows as negatives and toxic texts
-those windows that the model of the moment finds most toxic. A logistic map, fitted on training texts that the
-embeddings have not seen, turns the greatest window's value into the score.
+reads it. Embeddings and softmax are trained jointly in numpy. A text's score is the softmax's probability for its most
+toxic window, so a few words count in a text of any length: in training, toxic texts give those windows that the model
+of the moment finds most toxic, and clean texts give windows as negatives (see NEGATIVES).
+
+Two things are done to the trained model before it scores. A bucket that few training texts had is shrunk towards no
+opinion (see SUPPORT). Then the last layer is calibrated: the softmax's logits are scaled by one number and shifted by
+another, both fitted on a fifth of the training texts that the embeddings have not seen, since the most toxic of many
+windows looks more toxic than a window drawn at random. The score is the probability that this calibrated softmax gives.
 
 A misspelling that training never saw shares most of its n-grams with the word it stands for, and so its vector.
 
@@ -22,18 +26,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from corpusloom.llm.batches import values
 from corpusloom.llm.keys import text_of
 from corpusloom.llm.words import words
+from corpusloom.plans.storage import Stash
 
 BUCKETS, DIM, WINDOW = 1 << 18, 8, 3
 SHORTEST, LONGEST = 3, 5
 #: A bucket met in n training texts keeps n / (n + SUPPORT) of its value, one never met none.
 SUPPORT = 30
+#: A round of training sees so many negative windows per positive one, drawn at random, and as many hard ones as
+#: positives: those that look most toxic at that time.
+NEGATIVES = 8
+#: Words whose value a worker remembers (about 150 bytes each).
+WORDS_KEPT = 200_000
 #: Bounds of the training sample, in texts of each class and in bytes of text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 48 << 20
 CUT = 0.7
+#: Labels have at most so many different values.
+GRADES = 1000
 
 
 def subwords(word: bytes) -> list[int]:
@@ -47,7 +60,8 @@ def subwords(word: bytes) -> list[int]:
 
 @dataclass
 class ToxicityModel:
-    """values[b]: what bucket b adds to the logit of a word; slope and intercept map the greatest window to a score."""
+    """values[b]: what bucket b adds to a word's difference of the two logits; slope and intercept are the calibration
+    of the last layer, under which ``score`` is the softmax's probability of label 1."""
 
     values: np.ndarray
     bias: float
@@ -64,7 +78,7 @@ class ToxicityModel:
         value = self._known.get(word)
         if value is None:
             value = float(self.values[subwords(word)].mean())
-            if len(self._known) > 400_000:
+            if len(self._known) >= WORDS_KEPT:
                 self._known.clear()
             if len(word) <= 64:
                 self._known[word] = value
@@ -96,7 +110,8 @@ class _Bags:
             own = [number.setdefault(w, len(number)) for w in words(text)]
             if not own:
                 continue
-            at = np.arange(0, max(1, len(own) - WINDOW // 2), WINDOW)
+            # Windows side by side; the last one ends with the text, so every word is in a window of full size.
+            at = np.unique(np.minimum(np.arange(0, len(own), WINDOW), max(0, len(own) - WINDOW)))
             begins.append(at + len(ids))
             sizes.append(np.minimum(WINDOW, len(own) - at))
             text_of.append(np.full(len(at), len(self.kept)))
@@ -226,7 +241,8 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 6, rate: flo
             best = np.full(len(yt), -np.inf)
             np.maximum.at(best, bags.text_of, logit)
             chosen = positive[(logit[positive] >= best[bags.text_of[positive]] - 1e-9) | (logit[positive] > 0)]
-        some = negative if len(negative) <= 8 * len(chosen) else trainer.random.choice(negative, 8 * len(chosen), replace=False)
+        most = NEGATIVES * len(chosen)
+        some = negative if len(negative) <= most else trainer.random.choice(negative, most, replace=False)
         if k and len(negative) > len(some):  # and those negatives that look most toxic now
             some = np.union1d(some, negative[np.argsort(-logit[negative])[: len(chosen)]])
         both = np.r_[chosen, some]
@@ -247,20 +263,29 @@ def held_out(col: str):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """Texts and labels of at most ``bounds[label]`` rows of each label, chosen by a hash of the id, held-out ids
-    excepted. What reaches the driver is bounded by rows and by ``most_bytes`` of text."""
+    """Texts and labels of at most ``bounds[label]`` ids of each label, chosen by a hash of the id, held-out ids
+    excepted; of the rows of an id one. What reaches the driver is bounded by rows and by ``most_bytes`` of text. The
+    sampled rows are written, so that all documents are read once. More than GRADES different labels raise ValueError."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"), (F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / (1 << 20)).alias("u")).distinct()
-    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).limit(10_000).collect()}
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).limit(GRADES + 1).collect()}
+    if len(counts) > GRADES:
+        raise ValueError(f"{label} has more than {GRADES} grades")
     share = {y: min(1.0, bounds.get(y, 0) / n) for y, n in counts.items()}
     wanted = F.lit(False)
     for y, s in share.items():
         wanted = wanted | ((F.col("y") == y) & (F.col("u") < s))
-    sample = known.where(wanted)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "id")  # bounded by ``bounds``
-    sizes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if sizes > most_bytes:
-        rows = rows.where(F.col("u") / F.create_map(*[F.lit(v) for y, s in share.items() for v in (y, max(s, 1e-9))])[F.col("y")] < most_bytes / sizes)
-    return sorted((r.text, r.y) for r in rows.select("text", "y").collect())
+    # Thinned by the hash to about ``bounds`` rows, so these windows hold few rows at any size of the input.
+    place = F.row_number().over(Window.partitionBy("y").orderBy("u", "id"))
+    limit = F.create_map(*[F.lit(v) for y in share for v in (y, bounds.get(y, 0))] or [F.lit(0), F.lit(0)])[F.col("y")]
+    sample = known.where(wanted).withColumn("place", place).where(F.col("place") <= limit)
+    joined = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # An id may have any number of rows; one text of each is enough.
+    single = joined.groupBy("id", "y", "place").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
+    held = Stash(single, "sample")
+    run = F.sum(F.octet_length("text")).over(Window.orderBy("place", "id", "y").rowsBetween(Window.unboundedPreceding, 0))
+    found = sorted((r.text, r.y) for r in held.df.withColumn("run", run).where(F.col("run") <= most_bytes).select("text", "y").collect())
+    held.drop()
+    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
@@ -275,7 +300,7 @@ def with_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [shared.value.score(t) for t in b.column(text_col).to_pylist()]
+            scores = [shared.value.score(t) for t in values(b.column(text_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
@@ -295,11 +320,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` without the rows that score ``cut`` or more; all columns stay as they are."""
+    """``docs`` without the rows that score ``cut`` or more; all columns stay as they are.
+
+    Each row is judged by its own text, so repeated rows go or stay alike and ids (null, or shared by rows) play no part
+    in the score; they only lead to the labels. Null and empty texts score as texts without words. Labels that are null
+    or whose document is missing are ignored; without labels of both classes every text scores as the class there is
+    (with none: 0, and all rows stay). An empty table stays empty. Columns of any name may be there.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([shared.value.score(t) < cut for t in b.column(text_col).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([shared.value.score(t) < cut for t in values(b.column(text_col))], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
