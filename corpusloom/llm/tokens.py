@@ -25,7 +25,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LAST_LATIN = "ɏ"
 #: Bytes of the table of pieces (or of counts) that a worker holds, and about what an entry takes beside key and value.
-TABLE_BYTES, ENTRY_BYTES = 32 << 20, 100
+TABLE_BYTES, ENTRY_BYTES = 96 << 20, 100
 
 
 def _byte_letters() -> dict[int, str]:
