@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corpusloom.functions.normalize import rstrip
+from corpusloom.plans.storage import spread
 
 # Domains and phrases that the filters look for.
 BAD_TLDS = ["cn", "ru", "tv", "hu", "pl", "info"]
@@ -114,7 +119,7 @@ def linewise_clean(text: Column, starts: list[str] = READ_MORE_STARTS, ends: lis
 
 
 def sentence_ends(line: Column, mark: str = "。") -> Column:
-    return F.rtrim(line).endswith(mark)
+    return rstrip(line).endswith(mark)
 
 
 def keyword_counts(text: Column, categories: dict[str, list[str]]) -> Column:
@@ -122,13 +127,81 @@ def keyword_counts(text: Column, categories: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for k, v in categories.items() for x in (F.lit(k), F.regexp_count(text, F.lit("|".join(map(re.escape, v)))))])
 
 
+DICTIONARY_BYTES = 64 << 20
+
+
+def dictionary_counts(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+    """id, category, n for every category of which a text holds a word: how often its words occur, overlapping ones too.
+
+    ``dictionary`` is a table (category, word); it is sent to all executors, so more than ``most_bytes`` of words raise
+    ValueError. All words are looked for in one pass over a text. Null and empty words are ignored.
+    """
+    words = dictionary.where("category is not null and word is not null and word != ''").select("category", "word").distinct()
+    size = words.agg(F.sum(F.octet_length("word") + F.octet_length("category"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the dictionary has {size} bytes of words, more than {most_bytes}")
+    shared = docs.sparkSession.sparkContext.broadcast([(r.category, r.word) for r in words.collect()])
+
+    @F.pandas_udf("map<string,long>")
+    def count(s: pd.Series) -> pd.Series:
+        find = finder(shared.value)
+        return s.map(lambda t: find(t or ""))
+
+    return spread(docs).select(F.col(id_col), F.explode(count(F.col(text_col))).alias("category", "n"))
+
+
+def finder(pairs: list[tuple[str, str]]):
+    """A function from a text to {category: occurrences}: an automaton where there is one, else a pass per word."""
+    by_word: dict[str, list[str]] = {}
+    for category, word in pairs:
+        by_word.setdefault(word, []).append(category)
+    try:
+        import ahocorasick
+    except ImportError:
+        patterns = [(re.compile(f"(?={re.escape(w)})"), cs) for w, cs in by_word.items()]
+
+        def slow(text: str) -> dict[str, int]:
+            out: Counter = Counter()
+            for p, cs in patterns:
+                n = sum(1 for _ in p.finditer(text))
+                out.update(dict.fromkeys(cs, n) if n else {})
+            return dict(out)
+
+        return slow
+    automaton = ahocorasick.Automaton()
+    for word, cs in by_word.items():
+        automaton.add_word(word, cs)
+    if by_word:
+        automaton.make_automaton()
+
+    def fast(text: str) -> dict[str, int]:
+        out: Counter = Counter()
+        for _, cs in automaton.iter(text) if by_word else ():
+            out.update(cs)
+        return dict(out)
+
+    return fast
+
+
 # Part-of-speech tags that a Japanese sentence has.
 PARTICLE, VERB, AUXILIARY, CASE_PARTICLE = "助詞", "動詞", "助動詞", "格助詞"
 
 
-def is_sentence(tags: Column, details: Column, text: Column, longest: int = 48000) -> Column:
+def is_sentence(tags: Column, details: Column, text: Column, longest: int | None = None) -> Column:
     """From the tags of a text's tokens: not particles alone, and a case particle or a particle, auxiliary or verb.
-    Texts over ``longest`` characters are not looked at and stay."""
+    With ``longest`` (some pipelines have 48,000), longer texts are not looked at and stay."""
     only = F.forall(tags, lambda t: t == PARTICLE)
     some = F.exists(details, lambda t: t == CASE_PARTICLE) | F.exists(tags, lambda t: t.isin(PARTICLE, AUXILIARY, VERB))
-    return (F.length(text) > longest) | (~only & some)
+    judged = ~only & some
+    return judged if longest is None else (F.length(text) > longest) | judged
+
+
+def tag_lines(tagger):
+    """A UDF from a text to its tokens' tags: array of (tag, detail). ``tagger`` maps a text to such pairs; it is loaded
+    on the executors, so it must be picklable (a function of a module, or a class that opens its model when called)."""
+
+    @F.pandas_udf("array<struct<tag:string,detail:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else [{"tag": a, "detail": b} for a, b in tagger(t)])
+
+    return run

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 MASK32, MASK64 = 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF
 
@@ -104,6 +104,30 @@ def xxh3_bits(data: bytes, bits: int = 64, seed: int = 0) -> int:
     return xxhash.xxh3_128_intdigest(data, seed) if bits == 128 else xxhash.xxh3_64_intdigest(data, seed) & ((1 << bits) - 1)
 
 
+def fnv1a_32_all(texts: list[bytes], seed: int = 0) -> np.ndarray:
+    """FNV-1a of many texts at once, a byte of every text at a step; longest texts first, so finished ones fall away."""
+    out = np.full(len(texts), seed & MASK32 or 0x811C9DC5, "u4")
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    sizes = np.array([len(texts[i]) for i in order], "i8")
+    starts = np.cumsum(np.r_[0, sizes])[:-1]
+    flat = np.frombuffer(b"".join(texts[i] for i in order), "u1")
+    h = out[order]
+    for at in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -at, side="left"))  # texts longer than ``at``
+        h[:n] = (h[:n] ^ flat[starts[:n] + at]) * np.uint32(0x01000193)
+    out[order] = h
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def fnv1a_32_column(s: pd.Series) -> pd.Series:
+    """FNV-1a of texts, a batch at a time."""
+    known = s.notna()
+    out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+    out[known] = fnv1a_32_all([t.encode("utf-8") for t in s[known]]).astype("i8")
+    return out
+
+
 def hash_udf(f, **kw):
     """An Arrow UDF of a Python hash of UTF-8 text; values of 64 bits come out as signed longs."""
 
@@ -122,6 +146,27 @@ def sha1_32(c: Column) -> Column:
     return F.conv(turned, 16, 10).cast("long")
 
 
+#: Bands and rows of the usual signature sizes.
+PRESETS = ((20, 450), (20, 40), (20, 10))
+
+
+def hash_column(name: str, **kw):
+    """The hash of a name, as a function of a column: md5, sha1, sha256 (hexadecimal), sha1_32, xxh64 (built in), or
+    murmur3_32, murmur3_x64_128, fnv1a_32, fnv1a_64, xxh3 in Python, as longs (of 128 bits the first half)."""
+    built_in = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha1_32": sha1_32, "xxh64": F.xxhash64}
+    if name in built_in:
+        return built_in[name]
+    seed = kw.get("seed", 0)
+    python = {
+        "murmur3_32": lambda data: int(murmur3_32([data], np.array([seed], "u4"))[0, 0]),
+        "murmur3_x64_128": lambda data: murmur3_x64_128(data, seed)[0],
+        "fnv1a_32": lambda data: fnv1a_32(data, seed),
+        "fnv1a_64": lambda data: fnv1a_64(data, seed),
+        "xxh3": lambda data: xxh3_bits(data, kw.get("bits", 64), seed),
+    }
+    return hash_udf(python[name])
+
+
 @lru_cache(64)
 def optimal_bands(threshold: float, num_perm: int, fp_weight: float = 0.5, fn_weight: float = 0.5, steps: int = 400) -> tuple[int, int]:
     """Bands and rows that minimise the weighted areas of false positives and false negatives."""

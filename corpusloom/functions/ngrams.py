@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from corpusloom.functions.normalize import SPACES, strip
 
-def _bound(value: Column, make) -> Column:
+
+def bound(value: Column, make) -> Column:
     """``make`` of a value that is computed once; an outer expression inside a lambda is computed for every element."""
     return F.transform(F.array(value), make)[0]
 
@@ -50,7 +53,7 @@ def token_ngrams(tokens: Column, n: int, least: int = 1, glue: str = " ") -> Col
         grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), glue))
         return F.when((size < least) | (size == 0), none).when(size < n, F.array(F.array_join(t, glue))).when(size >= n, grams).otherwise(none)
 
-    return _bound(tokens, of)
+    return bound(tokens, of)
 
 
 def word_shingles(text: Column, n: int) -> Column:
@@ -64,14 +67,35 @@ def spaced_chars(text: Column) -> Column:
 
 
 def lm_chunks(text: Column, least: int = 3) -> Column:
-    """White-space chunks of at least ``least`` characters."""
-    return F.filter(whitespace_words(text), lambda x: F.length(x) >= least)
+    """Chunks between white space (Unicode's) of at least ``least`` characters."""
+    return F.filter(F.split(text, f"[{SPACES}]+", -1), lambda x: F.length(x) >= least)
 
 
 def sentences(text: Column, marks: str = "。.!?！？") -> Column:
     """Cut behind runs of sentence marks and at line feeds; blank pieces go."""
     cut = F.split(F.regexp_replace(text, f"([{marks}]+)", "$1\n"), "\n", -1)
-    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(cut, strip), lambda x: x != "")
+
+
+#: Runs of one kind of script, or of a single mark: Latin and other letters, digits, hiragana, katakana, kanji.
+SCRIPT_RUNS_RE2 = r"[\p{Hiragana}]+|[\p{Katakana}ー]+|[\p{Han}々]+|[\p{Latin}\p{M}]+|\p{Nd}+|[^\s\p{Hiragana}\p{Katakana}ー\p{Han}々\p{Latin}\p{M}\p{Nd}]"
+SCRIPT_RUNS = r"\p{IsHiragana}+|[\p{IsKatakana}ー]+|[\p{IsHan}々]+|[\p{IsLatin}\p{M}]+|\p{Nd}+|[^\s\p{IsHiragana}\p{IsKatakana}ー\p{IsHan}々\p{IsLatin}\p{M}\p{Nd}]"
+
+
+def script_runs(text: Column) -> Column:
+    """A text cut where the script changes; white space goes. A segmenter for languages without blanks."""
+    return F.regexp_extract_all(text, F.lit(SCRIPT_RUNS), F.lit(0))
+
+
+def segmented(segmenter):
+    """A UDF from a text to its tokens by any function from str to a list of str, such as a morphological tagger's. It is
+    sent to the executors, so it must be picklable; one that holds a model should open it when first called there."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else list(segmenter(t)))
+
+    return run
 
 
 def code_points(text: Column) -> Column:

@@ -54,6 +54,9 @@ def unflagged(docs: DataFrame, flag: str = "duplicate") -> DataFrame:
     return docs.where(~F.coalesce(F.col(flag), F.lit(False)))
 
 
-def bloom_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The exact form of a Bloom-filter pass: no false positives, no filter to size."""
-    return exact_hash_dedup(docs, id_col, text_col)
+def duplicates_by_file(dropped: DataFrame, files: DataFrame, id_col: str = "doc_id", file: str = "source", row: str = "row") -> DataFrame:
+    """file, n_rows, rows: per file the sorted rows to drop. ``dropped`` lists ids; ``files`` maps an id to file and row.
+
+    A file's list is one row, so this is for lists that readers of single files want; a join needs no such list."""
+    hit = files.join(dropped.select(F.col(dropped.columns[0]).alias(id_col)).distinct(), id_col, "left_semi")
+    return hit.groupBy(file).agg(F.count(F.lit(1)).alias("n_rows"), F.sort_array(F.collect_list(row)).alias("rows"))

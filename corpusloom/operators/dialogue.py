@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.normalize import CHAT_PUNCT, replace_chars
+from corpusloom.plans.ordering import running_sums
 from corpusloom.plans.storage import Stash
 
 # Prompt templates and role prefixes.
@@ -18,18 +19,23 @@ ROLE_PREFIX = {"prompter": "### ユーザー: ", "assistant": "### アシスタ
 IGNORED = -100
 
 
-def first_child_paths(messages: DataFrame, id_col: str = "message_id", parent: str = "parent_id", order: str = "pos", root: str = "nan", deepest: int = 1000) -> DataFrame:
-    """root, depth, message: from each root always to the first child. One join per level; levels are written."""
-    child = messages.where(F.col(parent) != root).groupBy(parent).agg(F.min_by(id_col, order).alias("child"))
+def first_child_paths(messages: DataFrame, id_col: str = "message_id", parent: str = "parent_id", order: str = "pos", root: str = "nan") -> DataFrame:
+    """root, depth, message: from each root always to the first child (ties go to the least id), to any depth.
+
+    One join per level; levels are written. A path longer than there are messages is a cycle and raises ValueError.
+    """
+    child = messages.where(F.col(parent) != root).groupBy(parent).agg(F.min(F.struct(order, id_col))[id_col].alias("child"))
     child = Stash(child.toDF("parent", "child"), "children").df
     level = messages.where(F.col(parent) == root).select(F.col(id_col).alias("root"), F.lit(0).alias("depth"), F.col(id_col).alias("message"))
-    out, depth = level, 0
-    while depth < deepest:
+    out, depth, links = level, 0, child.count()
+    while True:
         level = Stash(level.join(child, level["message"] == child["parent"]).select("root", (F.col("depth") + 1).alias("depth"), F.col("child").alias("message")), "level").df
         if level.isEmpty():
-            break
-        out, depth = out.union(level), depth + 1
-    return out
+            return out
+        depth += 1
+        if depth > links:
+            raise ValueError("the messages form a cycle")
+        out = out.union(level)
 
 
 def complete_dialogues(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", last: str = "assistant", longest: int | None = None) -> DataFrame:
@@ -80,10 +86,9 @@ def over_length(turns: DataFrame, limit: int, conv: str = "conv_id", text: str =
 
 
 def token_blocks(tokens: DataFrame, block: int, group: str = "batch", order: str = "doc_id", col: str = "tokens") -> DataFrame:
-    """group, block_no, ids: the group's tokens in order cut into blocks; a remainder goes. Positions come from a running
-    sum of lengths, so a group is a unit of the source (a batch), not the corpus."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = tokens.withColumn("__at", F.coalesce(F.sum(F.size(col)).over(w), F.lit(0)))
+    """group, block_no, ids: the group's tokens in order cut into blocks; a remainder goes. Positions come from running
+    sums over ranges of the order, so a group may be the whole corpus; what meets in one row is a block."""
+    at = running_sums(tokens.withColumn("__n", F.size(col)), [order], "__n", "__at", group)
     each = at.select(group, "__at", F.posexplode(col).alias("p", "id")).withColumn("i", F.col("__at") + F.col("p"))
     blocks = each.groupBy(group, F.floor(F.col("i") / block).alias("block_no")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
     return blocks.where(F.size("ids") == block)

@@ -14,15 +14,18 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions.hashing import MASK32, murmur3_32, sha1_bits
+from corpusloom.functions.hashing import MASK32, murmur3_32
+from corpusloom.functions.normalize import feature_text
 from corpusloom.functions.similarity import estimated_jaccard
 from corpusloom.operators.graph import connected_components
-from corpusloom.plans.storage import Stash
+from corpusloom.plans.ordering import numbered
+from corpusloom.plans.storage import Stash, spread
 
 PRIME = (1 << 31) - 1
 BUCKETS, BUCKET_SIZE, GRAM = 20, 10, 5
+_APART = re.compile("[^a-z0-9]+").split
 
 
 def permutations(k: int) -> list[tuple[int, int]]:
@@ -35,21 +38,21 @@ def portable_signature(text: Column, k: int = 32, n: int = 5) -> Column:
     """Signature over n-word shingles of ASCII words; null for fewer than n words."""
     maps = np.array(permutations(k), "i8")
 
+    def one(t: str | None) -> np.ndarray | None:
+        words = [w for w in _APART(t.lower()) if w] if t else []
+        if len(words) < n:
+            return None
+        digest = hashlib.md5
+        grams = set(map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+        h = np.frombuffer(b"".join([digest(g.encode()).digest()[:4] for g in grams]), ">u4").astype("i8") >> 4  # seven hex digits
+        least = np.full(k, PRIME, "i8")
+        for i in range(0, len(h), 4096):
+            least = np.minimum(least, ((h[i : i + 4096, None] * maps[:, 0] + maps[:, 1]) % PRIME).min(axis=0))
+        return least
+
     @F.pandas_udf("array<long>")
     def sign(s: pd.Series) -> pd.Series:
-        out = []
-        for t in s:
-            words = [w for w in re.split("[^a-z0-9]+", t.lower()) if w] if t else []
-            if len(words) < n:
-                out.append(None)
-                continue
-            grams = {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
-            h = np.array([int(hashlib.md5(g.encode()).hexdigest()[:7], 16) for g in grams], "i8")
-            least = np.full(k, PRIME, "i8")
-            for i in range(0, len(h), 4096):
-                least = np.minimum(least, ((h[i : i + 4096, None] * maps[:, 0] + maps[:, 1]) % PRIME).min(axis=0))
-            out.append(least)
-        return pd.Series(out)
+        return s.map(one)
 
     return sign(text)
 
@@ -65,7 +68,7 @@ def share_band(a: Column, b: Column) -> Column:
 
 def exploded(docs: DataFrame, signature: Column, b: int, r: int, id_col: str = "doc_id") -> DataFrame:
     """id, band, key. A document without a signature has no keys; ``flags`` and ``cluster`` give it a row from ``ids``."""
-    return docs.select(F.col(id_col).alias("id"), signature.alias("s")).where("s is not null").select("id", F.inline(bands(F.col("s"), b, r)))
+    return spread(docs).select(F.col(id_col).alias("id"), signature.alias("s")).where("s is not null").select("id", F.inline(bands(F.col("s"), b, r)))
 
 
 def _every(ids: DataFrame) -> DataFrame:
@@ -80,6 +83,7 @@ def flags(keys: DataFrame, pooled: bool = False, ids: DataFrame | None = None) -
     column; those without keys are no duplicates.
     """
     at = ["key"] if pooled else ["band", "key"]
+    keys = Stash(keys, "keys").df  # read twice, and signatures are dear
     own = keys.groupBy("id").agg(F.count_distinct(*[F.col(c) for c in at]).alias("d"), F.count(F.lit(1)).alias("n"))
     first = keys.groupBy(*at).agg(F.min("id").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("f"))
     again = (F.col("d") < F.col("n")) if pooled else F.lit(False)
@@ -94,13 +98,14 @@ def matched_keys(keys: DataFrame) -> DataFrame:
 
 def flags_with_list(keys: DataFrame, known: DataFrame) -> DataFrame:
     """As ``flags``, with keys known from before."""
+    keys = Stash(keys, "keys").df
     hit = keys.join(known.select("band", "key").distinct(), ["band", "key"], "left_semi").select("id").distinct().withColumn("known", F.lit(True))
     return flags(keys).join(hit, "id", "left").select("id", (F.col("duplicate") | F.coalesce("known", F.lit(False))).alias("duplicate"))
 
 
 def star_edges(keys: DataFrame) -> DataFrame:
     """(src, dst): each document to the first of each of its keys. By a join with minima that AQE can split."""
-    held, least = Stash(keys, "keys").df, None
+    held = Stash(keys, "keys").df
     least = Stash(held.groupBy("band", "key").agg(F.min("id").alias("dst"), F.max("id").alias("top")).where("dst != top").drop("top"), "least").df
     return held.join(least, ["band", "key"]).where("id != dst").select(F.col("id").alias("src"), "dst").distinct()
 
@@ -108,6 +113,7 @@ def star_edges(keys: DataFrame) -> DataFrame:
 def cluster(keys: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """id, component for every document of ``keys``: documents that share keys, directly or over others. ``ids`` lists
     all documents in its first column; those without keys are components of their own."""
+    keys = Stash(keys, "keys").df if ids is None else keys
     c = connected_components(star_edges(keys))
     every = _every(keys.select("id") if ids is None else ids)
     return every.join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -126,8 +132,9 @@ def shingle_set(text: Column, n: int = GRAM) -> Column:
     @F.pandas_udf("array<long>")
     def cut(s: pd.Series) -> pd.Series:
         def one(t):
-            words = [w for w in re.split("[^a-z0-9]+", t.lower()) if w] if t else []
-            return np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + n])) for i in range(len(words) - n + 1)], "u8")).view("i8")
+            words = [w for w in _APART(t.lower()) if w] if t else []
+            grams = map(" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+            return np.unique(np.array([xxhash.xxh3_64_intdigest(g) for g in grams], "u8")).view("i8")
 
         return s.map(one)
 
@@ -156,7 +163,7 @@ def verified_clusters(
     """
     if verify not in ("exact", "estimate"):
         raise ValueError(f"verify = {verify}")
-    signed = docs.select(F.col(id_col).alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature"), *([shingle_set(F.col("text")).alias("members")] if verify == "exact" else []))
+    signed = spread(docs).select(F.col(id_col).alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature"), *([shingle_set(F.col("text")).alias("members")] if verify == "exact" else []))
     by, alike = ("members", set_jaccard) if verify == "exact" else ("signature", estimated_jaccard)
     every = Stash(signed.withColumn("name", F.when(F.col("signature").isNotNull(), F.sha2(F.array_join(F.col(by).cast("array<string>"), "_"), 256))), "signed").df
     rows = every.where("signature is not null")
@@ -228,30 +235,98 @@ def prefixed_signature(text: Column, buckets: int = BUCKETS, size: int = BUCKET_
     return sign(text)
 
 
+def char_signature(text: Column, k: int = 128, n: int = 6, seed: int = 1) -> Column:
+    """Signature of a web-corpus pipeline: character n-grams of the text in lower case, without ASCII punctuation and with
+    white space collapsed, under k affine permutations of 32-bit SHA-1 values modulo 2^61 - 1. A text of fewer than n
+    characters is one gram; a null text has no signature."""
+    a, b = affine_maps(k, seed)
+
+    @F.pandas_udf("array<long>")
+    def sign(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else affine_minima({t[i : i + n] for i in range(max(1, len(t) - n + 1))}, a, b))
+
+    return sign(feature_text(text))
+
+
+def affine_maps(k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of k permutations modulo 2^61 - 1."""
+    prime = (1 << 61) - 1
+    r = np.random.RandomState(seed)
+    a = r.randint(1, prime, k, dtype=np.int64).astype("u8")
+    return a, r.randint(0, prime, k, dtype=np.int64).astype("u8")
+
+
+def affine_minima(grams: set[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least low 32 bits of each permutation of the grams' 32-bit SHA-1 values."""
+    h = np.frombuffer(b"".join([hashlib.sha1(g.encode()).digest()[:4] for g in grams]), "<u4").astype("u8")
+    out = np.full(len(a), MASK32, "u8")
+    for i in range(0, len(h), 1024):
+        out = np.minimum(out, (affine_61(h[i : i + 1024, None], a, b) & np.uint64(MASK32)).min(axis=0))
+    return out.astype("i8")
+
+
+def pack_signature(signature: Column) -> Column:
+    """The values' low 32 bits, little-endian, in base64: four bytes a value instead of eight."""
+
+    @F.pandas_udf("string")
+    def pack(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "i8").astype("<u4").tobytes()).decode())
+
+    return pack(signature)
+
+
+def unpack_signature(packed: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def unpack(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), "<u4").astype("i8"))
+
+    return unpack(packed)
+
+
+def write_signatures(signed: DataFrame, flags: DataFrame, folder: str, id_col: str = "doc_id") -> None:
+    """Parquet of id, signature (packed, null where there is none) and duplicate, for pipelines that go on from there."""
+    packed = signed.select(id_col, pack_signature(F.col("signature")).alias("signature"))
+    packed.join(flags.select(id_col, "duplicate"), id_col, "left").write.parquet(folder)
+
+
+def read_signatures(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
+    rows = spark.read.parquet(folder)
+    return rows.select(id_col, unpack_signature(F.col("signature")).alias("signature"), "duplicate")
+
+
 def word_signature(text: Column, k: int = 256, n: int = 5, least: int = 5, seed: int = 42) -> Column:
     """Affine permutations of 32-bit SHA-1 values of word n-grams, modulo 2^61 - 1; null for under ``least`` tokens.
 
-    Python integers keep the products exact. Values are unsigned 32-bit numbers in longs.
+    Products of 61 and 32 bits are exact in 64-bit words: the factor is split into 29 low and 32 high bits, and 2^61 is 1
+    for this modulus. Values are unsigned 32-bit numbers in longs.
     """
-    prime = (1 << 61) - 1
-    r = np.random.RandomState(seed)
-    a = r.randint(1, prime, k, dtype=np.int64).astype(object)
-    b = r.randint(0, prime, k, dtype=np.int64).astype(object)
+    a, b = affine_maps(k, seed)
+
+    def one(t: str | None) -> np.ndarray | None:
+        tokens = re.split(r"\W", t) if t is not None else []
+        if len(tokens) < least:
+            return None
+        return affine_minima({" ".join(tokens[i : i + n]).lower() for i in range(max(1, len(tokens) - n + 1))}, a, b)
 
     @F.pandas_udf("array<long>")
     def sign(s: pd.Series) -> pd.Series:
-        def one(t):
-            tokens = re.split(r"\W", t) if t is not None else []
-            if len(tokens) < least:
-                return None
-            grams = {" ".join(tokens[i : i + n]).lower() for i in range(max(1, len(tokens) - n + 1))}
-            h = np.array([sha1_bits(g.encode(), 32) for g in grams], object)
-            return [int(((h * x + y) % prime & MASK32).min()) for x, y in zip(a, b, strict=True)]
-
         return s.map(one)
 
     return sign(text)
 
 
-def sort_by_signature(signed: DataFrame, col: str = "signature") -> DataFrame:
-    return signed.orderBy(col)
+def affine_61(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(h a + b) mod 2^61 - 1 for h below 2^32 and a, b below 2^61, in unsigned 64-bit numbers."""
+    p, low, top = np.uint64((1 << 61) - 1), np.uint64(29), np.uint64(61)
+    high = h * (a >> low)  # below 2^64; its weight is 2^29
+    # high = q 2^32 + r, so high 2^29 = q 2^61 + r 2^29, which is q + r 2^29 here.
+    turned = (high >> np.uint64(32)) + ((high & np.uint64(MASK32)) << low)
+    total = (turned & p) + (turned >> top) + h * (a & np.uint64((1 << 29) - 1)) + b
+    total = (total & p) + (total >> top)
+    return np.where(total >= p, total - p, total)
+
+
+def sort_by_signature(signed: DataFrame, id_col: str = "id", col: str = "signature", out: str = "place") -> DataFrame:
+    """id, place (from 1) in the order of signatures and, where they tie, of ids; rows without a signature come last."""
+    key = F.when(F.col(col).isNull(), F.lit(None).cast("string")).otherwise(F.array_join(F.transform(col, lambda x: F.lpad(x.cast("string"), 20, "0")), ""))
+    return numbered(signed.select(F.col(id_col), F.col(col).isNull().alias("__none"), key.alias("__key")), ["__none", "__key", id_col], out, 1).select(id_col, out)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.ngrams import whitespace_words
+from corpusloom.plans.ordering import running_sums
+from corpusloom.plans.storage import Stash
 
 
 def perplexity(log10_sum: Column, tokens: Column) -> Column:
@@ -19,6 +23,50 @@ def bigram_model(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Da
     return two.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n")), two
 
 
+def ngram_counts(docs: DataFrame, order: int, text_col: str = "text", words=None) -> DataFrame:
+    """n, gram, count: word n-grams of 1..order in texts framed by <s> and </s>, summed before the shuffle.
+
+    ``words`` cuts a text (white space by default); grams are words joined by blanks.
+    """
+    cut = whitespace_words if words is None else words
+    w = docs.select(F.concat(F.array(F.lit("<s>")), cut(F.col(text_col)), F.array(F.lit("</s>"))).alias("w")).where("w is not null")
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.struct(F.lit(k).alias("n"), F.array_join(F.slice("w", i, F.lit(k)), " ").alias("gram")))
+    lists = [F.when(F.size("w") >= k, of(k)).otherwise(F.array().cast("array<struct<n:int,gram:string>>")) for k in range(1, order + 1)]
+    return w.select(F.inline(F.concat(*lists))).groupBy("n", "gram").agg(F.count(F.lit(1)).alias("count"))
+
+
+def backoff_scores(docs: DataFrame, counts: DataFrame, order: int, back_off: float = 0.4, id_col: str = "doc_id", text_col: str = "text", words=None) -> DataFrame:
+    """id, log10_score, tokens, perplexity under n-gram ``counts`` (of ``ngram_counts``).
+
+    A word's score is the relative frequency of the longest n-gram that ends with it and occurs in the counts, times
+    ``back_off`` for every word of context dropped; a word that does not occur at all counts as half an occurrence. The
+    end mark is scored like a word, the start mark is only context. ``counts`` may be any model of that form, so another
+    corpus or another order of smoothing can be plugged in. Equal grams of a document are scored once, with their number.
+    """
+    cut = whitespace_words if words is None else words
+    model = counts.select("gram", "count")
+    total = counts.where("n = 1 and gram != '<s>'").agg(F.sum("count").alias("total")).first().total or 1  # one number
+    framed = docs.select(F.col(id_col).alias("id"), F.concat(F.array(F.lit("<s>")), F.coalesce(cut(F.col(text_col)), F.array().cast("array<string>")), F.array(F.lit("</s>"))).alias("w"))
+    tail = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.slice("w", F.greatest(i - order + 1, F.lit(1)), F.least(i, F.lit(order))))
+    level = framed.select("id", F.explode(tail).alias("t")).groupBy("id", "t").agg(F.count(F.lit(1)).alias("k")).withColumn("drops", F.lit(0))
+    scored = None
+    for n in range(order, 0, -1):
+        level = Stash(level, "grams").df
+        own, rest = level.where(F.size("t") == n), level.where(F.size("t") < n)
+        with_counts = own.withColumn("gram", F.array_join("t", " ")).join(model, "gram", "left")
+        if n > 1:
+            context = model.toDF("context", "below")
+            hits = with_counts.where("count is not null").withColumn("context", F.array_join(F.slice("t", 1, n - 1), " ")).join(context, "context")
+            part = hits.select("id", "k", (F.log10(F.col("count") / F.col("below")) + F.col("drops") * math.log10(back_off)).alias("s"))
+            shorter = with_counts.where("count is null").select("id", F.slice("t", 2, n - 1).alias("t"), "k", (F.col("drops") + 1).alias("drops"))
+            level = rest.unionByName(shorter)
+        else:
+            part = with_counts.select("id", "k", (F.log10(F.coalesce(F.col("count"), F.lit(0.5)) / total) + F.col("drops") * math.log10(back_off)).alias("s"))
+        scored = part if scored is None else scored.unionByName(part)
+    sums = scored.groupBy("id").agg(F.sum(F.col("s") * F.col("k")).alias("log10_score"), F.sum("k").alias("tokens"))
+    return sums.select(F.col("id").alias(id_col), "log10_score", "tokens", perplexity(F.col("log10_score"), F.col("tokens")).alias("perplexity"))
+
+
 def unigram_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: DataFrame | None = None) -> DataFrame:
     """id, perplexity under a unigram model with one added to each count, end of text included in the length.
 
@@ -35,11 +83,25 @@ def unigram_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def bin_edges(df: DataFrame, score: str, bins: int = 32, exact: bool = True, accuracy: int = 100_000) -> list[float]:
-    """Distinct quantile edges with linear interpolation; with ``exact=False`` from a mergeable sketch."""
+    """Distinct quantile edges with linear interpolation; with ``exact=False`` from a mergeable sketch.
+
+    The exact form counts each value first, so equal scores are one row, and finds the few ranks that matter from running
+    sums over value ranges; no buffer holds the distinct values. Nulls are ignored; of no values there are no edges.
+    """
     q = [i / bins for i in range(bins + 1)]
-    how = F.percentile(F.col(score).cast("double"), F.array(*map(F.lit, q))) if exact else F.percentile_approx(F.col(score).cast("double"), q, accuracy)
-    values = df.agg(how.alias("e")).first().e
-    return sorted(set(values)) if values else []
+    if not exact:
+        values = df.agg(F.percentile_approx(F.col(score).cast("double"), q, accuracy).alias("e")).first().e
+        return sorted(set(values)) if values else []
+    counts = df.select(F.col(score).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sums(counts, ["v"], "n", "before")
+    n = ranked.agg(F.max(F.col("before") + F.col("n")).alias("n")).first().n
+    if not n:
+        return []
+    wanted = sorted({r for x in q for r in (math.floor(x * (n - 1)), math.ceil(x * (n - 1)))})
+    held = F.filter(F.array(*map(F.lit, wanted)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    at = {r.rank: r.v for r in ranked.select("v", F.explode(held).alias("rank")).collect()}  # two ranks per edge at most
+    place = [(math.floor(x * (n - 1)), math.ceil(x * (n - 1)), x * (n - 1)) for x in q]
+    return sorted({at[a] + (at[b] - at[a]) * (x - a) for a, b, x in place})
 
 
 def assign_bin(score: Column, edges: list[float]) -> Column:
@@ -97,3 +159,14 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def top_by(df: DataFrame, group: str, order: Column, n: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__n") <= n).drop("__n")
+
+
+def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in an order: a sample of bounded size that is the same every time."""
+    return df.orderBy(*order).limit(n)
+
+
+def sized_split(df: DataFrame, eval_rows: int, id_col: str = "doc_id", salt: str = "") -> tuple[DataFrame, DataFrame]:
+    """(train, eval): ``eval_rows`` rows, those with the least hash of their id, are held out. Distinct, non-null ids."""
+    held = df.select(id_col, hash_order(F.col(id_col), salt).alias("__h")).orderBy("__h", id_col).limit(eval_rows).select(id_col)
+    return df.join(held, id_col, "left_anti"), df.join(held, id_col, "left_semi")

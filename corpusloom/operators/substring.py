@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.functions.ngrams import whitespace_words
-from corpusloom.plans.storage import Stash
+from corpusloom.functions.ngrams import bound, whitespace_words
+from corpusloom.plans.storage import Stash, spread
 
 
 def merge_intervals(df: DataFrame, key: str, start: str = "start", stop: str = "stop", strategy: str = "overlapping") -> DataFrame:
@@ -54,25 +56,49 @@ def cut_bytes(text: Column, slices: Column) -> Column:
     return cut(text, slices)
 
 
+def word_passages(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, i (from 1), h: the XXH64 of every run of k white-space words."""
+    w = spread(docs).select(id_col, whitespace_words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
+    return w.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))).alias("p", "h")).select(id_col, (F.col("p") + 1).alias("i"), "h")
+
+
 def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, stop (in words): maximal runs of words covered by k-word passages that occur more than once.
 
-    Only hashes are shuffled. The repeated hashes are found by an aggregation that combines on the map side; positions
-    then meet that list by a join that AQE can split.
+    A place of a passage costs 64 bits of hash, which are written once. The repeated ones are found by an aggregation
+    that combines on the map side; positions then meet that list by a join that AQE can split. Passages whose hashes
+    agree are compared by the SHA-256 of their words in a second, far smaller pass, so no chance collision marks a text.
     """
-    w = docs.select(id_col, whitespace_words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
-    grams = w.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.md5(F.array_join(F.slice("w", i, F.lit(k)), " ")))).alias("i", "h"))
-    held = Stash(grams, "passages").df
+    held = Stash(word_passages(docs, k, id_col, text_col), "passages").df
     often = Stash(held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated").df
-    spans = held.join(often, "h").select(id_col, F.col("i").alias("start"), (F.col("i") + k).alias("stop"))
+    found = Stash(held.join(often, "h").select(id_col, "i"), "found").df
+    at = found.groupBy(id_col).agg(F.array_sort(F.collect_set("i")).alias("at"))
+    words = spread(docs).select(id_col, whitespace_words(F.col(text_col)).alias("w")).join(at, id_col)
+    sums = F.transform("at", lambda i: F.struct(i.alias("i"), F.sha2(F.array_join(F.slice("w", i, F.lit(k)), " "), 256).alias("s")))
+    same = Stash(words.select(id_col, F.inline(sums)), "checked").df
+    sure = Stash(same.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"), "sure").df
+    spans = same.join(sure, "s").select(id_col, (F.col("i") - 1).alias("start"), (F.col("i") - 1 + k).alias("stop"))
     return merge_intervals(spans, id_col)
 
 
+def outside(words: Column, spans: Column) -> Column:
+    """The words that lie in none of the spans (array of start, stop: sorted, disjoint, from 0), a slice for each gap."""
+    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda r: F.array(r["start"].cast("int"), r["stop"].cast("int")))), F.array(F.size(words)))
+
+    def gaps(e: Column) -> Column:
+        starts = F.filter(e, lambda _, i: i % 2 == 0)
+        stops = F.filter(e, lambda _, i: i % 2 == 1)
+        return F.flatten(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda g: F.slice(words, g["a"] + 1, g["b"] - g["a"])))
+
+    return bound(edges, gaps)
+
+
 def remove_repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text (white-space words joined by blanks) without repeated passages; documents left empty go."""
-    spans = repeated_spans(docs, k, id_col, text_col).groupBy(id_col).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+    """id, text (white-space words joined by blanks) without repeated passages; documents left empty go. A null text is
+    left out; ids should be distinct and not null."""
+    spans = repeated_spans(docs, k, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"))
     rows = docs.select(id_col, whitespace_words(F.col(text_col)).alias("w")).join(spans, id_col, "left")
-    kept = F.filter(F.col("w"), lambda x, i: ~F.exists(F.coalesce("s", F.array().cast("array<struct<start:int,stop:int>>")), lambda r: (i >= r["start"]) & (i < r["stop"])))
+    kept = F.when(F.col("s").isNull(), F.col("w")).otherwise(outside(F.col("w"), F.col("s")))
     return rows.select(id_col, F.array_join(kept, " ").alias("text")).where("text != ''")
 
 
@@ -82,6 +108,29 @@ def occurrences(docs: DataFrame, pattern: str, id_col: str = "doc_id", text_col:
     return docs.select(id_col, n.cast("long").alias("n"), F.instr(text_col, pattern).cast("long").alias("first"))
 
 
+def positions(text: Column, pattern: str) -> Column:
+    """Every place (from 1) of a literal in a text, overlapping ones too, ascending; of a null text none."""
+
+    @F.pandas_udf("array<long>")
+    def find(s: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[int]:
+            out, at = [], (t or "").find(pattern)
+            while at >= 0:
+                out.append(at + 1)
+                at = t.find(pattern, at + 1)
+            return out
+
+        return s.map(one)
+
+    return find(text)
+
+
+def suffix_range(data: bytes, order: list[int], pattern: bytes) -> tuple[int, int]:
+    """The part of a suffix array whose suffixes begin with ``pattern``: order[lo:hi] are its places."""
+    head = lambda i: data[i : i + len(pattern)]
+    return bisect_left(order, pattern, key=head), bisect_right(order, pattern, key=head)
+
+
 def suffix_array(text: Column) -> Column:
     """Places of all suffixes of the UTF-8 bytes in order. For single strings; a corpus uses ``repeated_spans``."""
 

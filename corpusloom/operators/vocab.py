@@ -7,11 +7,19 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpusloom.functions.ngrams import whitespace_words
+
+
+def word_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """token: the distinct white-space words."""
+    return docs.select(F.explode(whitespace_words(F.col(text_col))).alias("token")).distinct()
+
 
 def mask_digit_tokens(vocab: DataFrame) -> DataFrame:
     """id, target: tokens with digits map to the least id of their form with every digit as 0."""
     masked = vocab.select("token", "id", F.regexp_replace("token", "[0-9]", "0").alias("masked"))
-    return masked.select("id", F.min("id").over(Window.partitionBy("masked")).alias("target"))
+    least = masked.groupBy("masked").agg(F.min("id").alias("target"))  # combined before the shuffle, however common a form is
+    return masked.join(least, "masked").select("id", "target")
 
 
 def merge_vocab(base: DataFrame, extra: DataFrame, first: int = 1024, last: int = 65529) -> DataFrame:

@@ -60,5 +60,5 @@ def spread(df: DataFrame) -> DataFrame:
     Larger inputs, and those of many files, are left as they are: nothing is shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     few = 0 < len(df.inputFiles()) < cores
-    small = few and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    small = few and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     return df.repartition(cores) if small else df
