@@ -60,7 +60,7 @@ def test_flags_equal_a_sequential_pass(spark):
 
 
 def test_simhash_majority_golden():
-    assert simhash.majority([13352372148217134600, 5020219685658847592]) == 74633958390507528
+    assert simhash.majority_of(np.array([13352372148217134600, 5020219685658847592], "u8")) == 74633958390507528
 
 
 def test_intervals(spark):
