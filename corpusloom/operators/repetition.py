@@ -1,11 +1,14 @@
-"""Repetition measures of texts (Gopher rules) and the filter that they make up."""
+"""Repetition measures of texts (Gopher rules) and the filter that they make up.
+
+All of them are expressions over one row: n-grams are sorted within their text, so nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.filters import lines
-from corpusloom.functions.ngrams import whitespace_words
+from corpusloom.functions.ngrams import bound, whitespace_words
 
 #: The thresholds of the rules.
 LINE_FRACTION, LINE_CHARS = 0.3, 0.2
@@ -25,45 +28,78 @@ def duplicate_line_chars(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise((total(x) - total(F.array_distinct(x))) / F.length(text))
 
 
-def ngram_positions(docs: DataFrame, n: int, id_col: str, words: Column) -> DataFrame:
-    """id, w, i (from 0), gram: a row for each n-gram of words."""
-    w = docs.select(F.col(id_col), words.alias("w")).where(F.size("w") >= n)
-    return w.select(id_col, "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).alias("i", "gram"))
+def sorted_grams(words: Column, n: int) -> Column:
+    """Array of (gram, i) of all n-grams of words and their places (from 0), in order of gram and place."""
+    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(F.array_join(F.slice(words, i, F.lit(n)), " ").alias("gram"), (i - 1).alias("i")))
+    return F.when(F.size(words) >= n, F.array_sort(grams)).otherwise(F.array().cast("array<struct<gram:string,i:int>>"))
 
 
-def top_ngram_fraction(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fraction: the greatest (count - 1) x characters of an n-gram, over the characters of the text.
+def top_chars(words: Column, n: int) -> Column:
+    """The greatest (count - 1) x characters (blanks left out) of an n-gram of words: in sorted order, equal grams are runs."""
+    start = F.struct(F.lit("").alias("gram"), F.lit(0).alias("again"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        again = F.when(s["gram"] == x["gram"], s["again"] + 1).otherwise(0)
+        return F.struct(x["gram"].alias("gram"), again.alias("again"), F.greatest(s["best"], again * (F.length(x["gram"]) - (n - 1))).alias("best"))
+
+    return F.aggregate(sorted_grams(words, n), start, step, lambda s: s["best"])
+
+
+def covered_chars(words: Column, n: int) -> Column:
+    """Characters of the words that lie in an n-gram which the text has had before."""
+
+    def starts(g: Column) -> Column:
+        return F.array_sort(F.transform(F.filter(g, lambda x, j: (j > 0) & (F.get(g, j - 1)["gram"] == x["gram"])), lambda x: x["i"]))
+
+    def add(s: Column, i: Column) -> Column:
+        at = F.greatest(i, s["end"])
+        more = F.aggregate(F.slice(words, at + 1, i + n - at), F.lit(0), lambda t, w: t + F.length(w))
+        return F.struct((i + n).alias("end"), (s["total"] + more).alias("total"))
+
+    return F.aggregate(bound(sorted_grams(words, n), starts), F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")), add, lambda s: s["total"])
+
 
-    Grams are counted per document with a partial aggregation before the shuffle; texts are not shuffled.
-    """
-    g = ngram_positions(docs, n, id_col, whitespace_words(F.col(text_col)))
-    counts = g.groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy(id_col).agg(F.max((F.length("gram") - (n - 1)) * (F.col("n") - 1)).alias("chars"))
-    sizes = docs.select(id_col, F.length(text_col).alias("len"))
-    return sizes.join(most, id_col, "left").select(id_col, F.when(F.col("len") == 0, 0.0).otherwise(F.coalesce("chars", F.lit(0)) / F.col("len")).alias("fraction"))
+def _fraction(docs: DataFrame, chars, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(id_col, F.length(text_col).alias("len"), whitespace_words(F.col(text_col)).alias("w"))
+    return rows.select(id_col, F.when(F.col("len") == 0, 0.0).otherwise(chars(F.col("w")) / F.col("len")).alias("fraction"))
+
+
+def top_ngram_fraction(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fraction: the greatest (count - 1) x characters of an n-gram, over the characters of the text."""
+    return _fraction(docs, lambda w: top_chars(w, n), id_col, text_col)
 
 
 def covered_fraction(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fraction: characters of words that lie in an n-gram seen before in the text, over its characters."""
-    g = ngram_positions(docs, n, id_col, whitespace_words(F.col(text_col)))
-    again = g.select(id_col, "i", "gram", F.transform(F.slice("w", F.col("i") + 1, F.lit(n)), F.length).alias("sizes"))
-    again = again.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "gram").orderBy("i"))).where("k > 1")
-    words = again.select(id_col, "i", F.posexplode("sizes").alias("j", "size")).select(id_col, (F.col("i") + F.col("j")).alias("at"), "size").distinct()
-    marked = words.groupBy(id_col).agg(F.sum("size").alias("chars"))
-    sizes = docs.select(id_col, F.length(text_col).alias("len"))
-    return sizes.join(marked, id_col, "left").select(id_col, F.when(F.col("len") == 0, 0.0).otherwise(F.coalesce("chars", F.lit(0)) / F.col("len")).alias("fraction"))
+    return _fraction(docs, lambda w: covered_chars(w, n), id_col, text_col)
+
+
+def repetitive(text: Column, words: Column) -> Column:
+    """Whether a rule fires. The rules are tried in order, cheap ones first, and none after one that fires."""
+    size = F.length(text)
+    rules = [duplicate_line_fraction(text) > LINE_FRACTION, duplicate_line_chars(text) > LINE_CHARS]
+    rules += [top_chars(words, n) / size > t for n, t in TOP_GRAMS.items()] + [covered_chars(words, n) / size > t for n, t in COVERED_GRAMS.items()]
+    out = F.when(size == 0, False)
+    for rule in rules:
+        out = out.when(rule, True)
+    return out.otherwise(False)
 
 
 def is_repetitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize=None) -> DataFrame:
-    """id, repetitive: whether any rule fires on the (normalised) text; empty texts are not repetitive."""
-    base = docs.select(id_col, (normalize(F.col(text_col)) if normalize else F.col(text_col)).alias("text"))
-    out = base.select(id_col, ((duplicate_line_fraction(F.col("text")) > LINE_FRACTION) | (duplicate_line_chars(F.col("text")) > LINE_CHARS)).alias("rep"))
-    rules = [(top_ngram_fraction, n, t) for n, t in TOP_GRAMS.items()] + [(covered_fraction, n, t) for n, t in COVERED_GRAMS.items()]
-    for f, n, t in rules:
-        out = out.union(f(base, n, id_col, "text").select(id_col, (F.col("fraction") > t).alias("rep")))
-    return out.groupBy(id_col).agg(F.coalesce(F.max("rep"), F.lit(False)).alias("repetitive"))
-
-
-def remove_repetitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize=None) -> DataFrame:
-    bad = is_repetitive(docs, id_col, text_col, normalize).where("repetitive").select(id_col)
-    return docs.join(bad, id_col, "left_anti")
+    """id, repetitive: whether any rule fires on the (normalised) text; null and empty texts are not repetitive."""
+    base = docs.select(id_col, F.coalesce(normalize(F.col(text_col)) if normalize else F.col(text_col), F.lit("")).alias("text"))
+    return base.select(id_col, "text", whitespace_words(F.col("text")).alias("w")).select(id_col, repetitive(F.col("text"), F.col("w")).alias("repetitive"))
+
+
+def remove_repetitive(docs: DataFrame, text_col: str = "text", normalize=None) -> DataFrame:
+    """``docs`` without repetitive rows: a filter on each row's own text, with no shuffle."""
+    text, words = fresh(docs, "__text"), fresh(docs, "__words")
+    rows = docs.withColumn(text, F.coalesce(normalize(F.col(text_col)) if normalize else F.col(text_col), F.lit("")))
+    return rows.withColumn(words, whitespace_words(F.col(text))).where(~repetitive(F.col(text), F.col(words))).drop(text, words)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if there is a column called so."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
