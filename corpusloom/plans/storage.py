@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/corpusloom"
 
 
+#: Paths handed out since each ``scratch`` block that is open began.
+_OPEN: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, never used before."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete, at the end of the block, what was written to scratch paths inside it. Results that read such tables must
+    be written elsewhere by then; a path taken off the list stays. Without such a block everything stays until somebody
+    deletes the application's folder, since a lazy result may still need it."""
+    own: list[str] = []
+    _OPEN.append(own)
+    try:
+        yield own
+    finally:
+        _OPEN.pop()  # blocks end in the order that nests them
+        for path in own:
+            delete(spark, path)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> Stash:
+    """Write what ``make()`` gives, and delete the tables that were written on the way there."""
+    with scratch(spark) as own:
+        result = Stash(make(), label)
+        own.remove(result.path)
+    if _OPEN:
+        _OPEN[-1].append(result.path)
+    return result
 
 
 class Stash:
