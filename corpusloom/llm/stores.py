@@ -31,7 +31,11 @@ class AtomicFile:
         self.size += len(data)
 
     def commit(self) -> None:
+        """Give the file its name. What a first attempt of the task has put there goes first: not every store replaces a
+        file when another one is moved there."""
         self.out.close()
+        if self.store.get_file_info(self.path).type != fs.FileType.NotFound:
+            self.store.delete_file(self.path)
         self.store.move(self.temp, self.path)
 
 
