@@ -17,7 +17,7 @@ from corpusloom.llm.packing import packed
 from corpusloom.llm.queries import vocabulary
 from corpusloom.llm.simhash import drop_near_copies
 from corpusloom.llm.toxicity import drop_toxic
-from corpusloom.plans.storage import stash
+from corpusloom.plans.storage import finished
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +42,17 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash", simhash), ("decontamination", decontamination), ("packing", packing)]
 
-#: A trained classifier has no SQL; the stages are tested against brute-force versions.
+#: A trained classifier has no SQL; tests/llm/test_pipeline.py holds every stage, and the whole, against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written as Parquet in the shared folder and read again. What a stage
+    writes on its way there is deleted when its result is whole, and the result when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        result = finished(spark, lambda s=stage, d=docs: s(spark, d, sf_dir), name)
+        if before:
+            before.drop()
+        docs, before = result.df, result
     return STAGES[-1][1](spark, docs, sf_dir)
