@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.llm.batches import values
 from corpusloom.llm.keys import keep_listed, text_of
 from corpusloom.operators.graph import connected_components
 from corpusloom.plans.storage import Stash
@@ -61,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed([fingerprint(t) for t in b.column(1).to_pylist()])), *b.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed([fingerprint(t) for t in values(b.column(1))])), *b.columns[2:]], names=names)
 
     names = ["id", "fp", "sha"] if sha else ["id", "fp"]
     extra = [F.unhex(F.sha2(text_of(text_col), 256)).alias("sha")] if sha else []
@@ -273,12 +274,14 @@ def links(distinct: DataFrame, distance: int = DISTANCE, parts: int = PARTS, den
 def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int = DISTANCE, parts: int = PARTS, dense: int = DENSE, sha: bool = False) -> DataFrame:
     """The rows of ``fingerprints`` with root, which names the group by a fingerprint, and component_id."""
     held = Stash(fingerprints(docs, id_col, text_col, sha), "fingerprints").df
-    distinct = Stash(held.groupBy("fp").agg(F.min("id").alias("least")), "distinct").df
-    linked = Stash(connected_components(links(distinct, distance, parts, dense)), "linked").df
-    named = distinct.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    held_names = Stash(named, "named").df
-    least = Stash(held_names.groupBy("root").agg(F.min("least").alias("component_id")), "least").df
-    by_fp = Stash(held_names.join(least, "root").select("fp", "root", "component_id"), "by_fp").df
+    distinct = Stash(held.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    linked = Stash(connected_components(links(distinct.df, distance, parts, dense)), "linked")
+    roots = distinct.df.join(linked.df.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = Stash(roots, "named")
+    least = named.df.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = Stash(named.df.join(least, "root").select("fp", "root", "component_id"), "by_fp").df
+    for x in (distinct, linked, named):
+        x.drop()
     return held.join(by_fp, "fp")
 
 
@@ -295,7 +298,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, that of the smallest id (a null id being the largest) and,
-    of several with that id, of the smallest SHA-256 of the text; all columns stay."""
+    of several with that id, of the smallest SHA-256 of the text; all columns stay.
+
+    Null and empty texts are near copies of each other. Of rows that repeat id and text one stays (any of them, should
+    other columns differ). An empty table stays empty; columns of any name may be there.
+    """
     rows = _grouped(docs, id_col, text_col, sha=True)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("row"))
-    return keep_listed(docs, first.select("row.id", "row.sha"), id_col, text_col)
+    keys = rows.groupBy("root", "id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha", "n")).alias("row"))
+    return keep_listed(docs, Stash(first.select("row.id", "row.sha", "row.n"), "kept").df, id_col, text_col)
