@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.functions import filters as f, hashing as h, ngrams as g, normalize as n
+from corpusloom.functions import filters as f, hashing as h, ngrams as g, normalize as n, similarity as m
 from corpusloom.operators import dedup, dialogue, minhash, scoring, substring, vocab
 from corpusloom.plans.ordering import numbered
 from corpusloom.plans.queries import _MERGED_WORDS, KEYS, ORACLES, SIGNATURE, SIGS, SPACE_WORDS, T, column, query, read
@@ -78,6 +78,14 @@ query("h23_packed_signatures", "documents", f"WITH {SIGS} SELECT doc_id, 32::BIG
     lambda df: spread(df).select("doc_id", minhash.unpack_signature(minhash.pack_signature(SIGNATURE())).alias("s")).where("s is not null").select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 )
 
+# -- similarities of whole texts: the words of a text against those of its lower-cased form ----------------------------
+_BOTH = "len(list_intersect(x, y))"
+query("m_text_set_similarities", "documents", f"SELECT doc_id, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE {_BOTH} / (len(x) + len(y) - {_BOTH}) END, 9) AS jaccard, round(CASE WHEN len(x) = 0 THEN 1.0 ELSE {_BOTH} / len(x) END, 9) AS containment, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE 2.0 * {_BOTH} / (len(x) + len(y)) END, 9) AS dice FROM (SELECT doc_id, list_distinct({WORDS}) AS x, list_distinct({LOWER}) AS y FROM documents)")(
+    lambda df: df.select("doc_id", F.array_distinct(g.whitespace_words(T())).alias("x"), F.array_distinct(g.whitespace_words(F.lower("text"))).alias("y")).select(
+        "doc_id", F.round(m.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"), F.round(m.containment(F.col("x"), F.col("y")), 9).alias("containment"), F.round(m.dice(F.col("x"), F.col("y")), 9).alias("dice")
+    )
+)
+
 # -- substrings, lists -----------------------------------------------------------------------------------------------
 query("dp_positions", "documents", "SELECT doc_id, len(p)::BIGINT AS n, coalesce(list_sum(p), 0)::BIGINT AS total FROM (SELECT doc_id, list_filter(range(1, length(text)), lambda i: substring(text, i, 3) = 'the') AS p FROM documents)")(
     lambda df: df.select("doc_id", substring.positions(T(), "the").alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
