@@ -55,7 +55,8 @@ def segments(turns: DataFrame, template: ChatTemplate = DEFAULT, conv: str = "co
 
     ``start`` is the segment's place in the formatted conversation, in code points. Null roles and texts count as
     empty; a null conversation id is a conversation. Turns that tie (or have no number, these first) are in the order of
-    role and text, and repeated rows are turns each. ``accepted`` tells whether the role may follow the one before.
+    role and text, and repeated rows are turns each. ``accepted`` tells whether the role may follow the one before. The
+    turns of a conversation meet in one task (and in ``formatted`` in one row), those with a null id as well.
     """
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
