@@ -8,6 +8,7 @@ gathered on the driver, and hub nodes only meet a partial aggregation and joins
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.plans.storage import Stash
@@ -50,3 +51,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     current.drop()
     names = Stash(done.df.groupBy("root").agg(F.min("node").alias("component")), "components")
     return done.df.join(names.df, "root").select("node", "component")
+
+
+def spanning_links(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of places below n, links (place, least place of its connected set) that connect the same sets: at most n."""
+    label = np.arange(n)
+    while len(a):
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]

@@ -10,16 +10,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.hashing import MASK32, murmur3_32
 from corpusloom.functions.normalize import feature_text
 from corpusloom.functions.similarity import estimated_jaccard
-from corpusloom.operators.graph import connected_components
+from corpusloom.operators.graph import connected_components, spanning_links
 from corpusloom.plans.ordering import numbered
 from corpusloom.plans.storage import Stash, spread
 
@@ -119,11 +121,9 @@ def cluster(keys: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return every.join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def candidate_pairs(signed: DataFrame, b: int, r: int) -> DataFrame:
-    """(a, b), a < b: representatives of distinct signatures that share a band. ``signed`` has id and signature; equal
-    signatures are one class, so copies make no pairs."""
-    keys = exploded(signed, F.col("signature"), b, r, "id")
-    return keys.select("band", "key", F.col("id").alias("a")).join(keys.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b").distinct()
+def band_hashes(signature: Column, b: int, r: int) -> Column:
+    """A 64-bit key for each band."""
+    return F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(F.slice(signature, i * r + 1, F.lit(r)).cast("array<string>")))
 
 
 def shingle_set(text: Column, n: int = GRAM) -> Column:
@@ -152,32 +152,88 @@ def set_jaccard(a: Column, b: Column) -> Column:
     return share(a, b)
 
 
+def _similarities(x: list[np.ndarray], y: list[np.ndarray], exact: bool) -> np.ndarray:
+    """All similarities of two blocks: of sets of hashes by the product of their incidence matrices, of signatures by
+    equal positions."""
+    if not exact:
+        return np.stack([(np.stack(y) == v).mean(axis=1) for v in x])
+    every, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    sizes = np.array([len(v) for v in [*x, *y]])
+    held = np.zeros((len(sizes), len(every)), "f4")
+    held[np.repeat(np.arange(len(sizes)), sizes), at] = 1
+    both = held[: len(x)] @ held[len(x) :].T
+    return both / (sizes[: len(x), None] + sizes[None, len(x) :] - both)
+
+
+def _crowded_links(many: DataFrame, values: DataFrame, threshold: float, exact: bool, block: int) -> DataFrame:
+    """(src, dst, candidates, verified) from buckets of many sets (id, keys, band, key, n), compared in blocks of about
+    ``block``: links that connect what the verified pairs connect, and a row with null ends that counts the pairs. A pair
+    belongs to the first band that it shares, so it counts once."""
+    dealt = many.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))).join(values, "id")
+    packed = Stash(dealt.groupBy("band", "key", "block").agg(F.collect_list(F.struct("id", "keys", "value")).alias("m")), "crowded").df
+    sides = (packed.toDF("band", "key", i, m) for i, m in (("i", "x"), ("j", "y")))
+    pairs = next(sides).join(next(sides), ["band", "key"]).where("i <= j").select("band", (F.col("i") == F.col("j")).alias("same"), "x", "y")
+
+    def unpacked(v: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        rows = v.values
+        return rows.field("id").to_numpy(), np.stack([k.values.to_numpy() for k in rows.field("keys")]), [k.values.to_numpy() for k in rows.field("value")]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, same, x, y in zip(*(batch.column(c) for c in ("band", "same", "x", "y")), strict=True):
+                (ia, ka, va), (ib, kb, vb) = unpacked(x), unpacked(y)
+                mine = np.ones((len(ia), len(ib)), bool)
+                for k in range(band.as_py()):
+                    mine &= ka[:, None, k] != kb[None, :, k]
+                if same.as_py():
+                    mine &= ia[:, None] < ib[None, :]
+                good = mine & (_similarities(va, vb, exact) >= threshold)
+                a, b = np.nonzero(good)
+                src, dst = spanning_links(a, b + len(ia), len(ia) + len(ib))
+                ids = np.r_[ia, ib]
+                keep = ids[src] != ids[dst]
+                ends = [np.append(ids[e][keep], 0) for e in (src, dst)]
+                last = np.r_[np.zeros(int(keep.sum()), bool), True]
+                counts = [np.where(last, int(v.sum()), 0) for v in (mine, good)]
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0], mask=last), pa.array(ends[1], mask=last), pa.array(counts[0]), pa.array(counts[1])], names=["src", "dst", "candidates", "verified"])
+
+    return pairs.mapInArrow(compare, "src long, dst long, candidates long, verified long")
+
+
 def verified_clusters(
-    docs: DataFrame, threshold: float = 0.8, k: int = 128, b: int = 16, id_col: str = "doc_id", signature: Column | None = None, verify: str = "exact"
+    docs: DataFrame, threshold: float = 0.8, k: int = 128, b: int = 16, id_col: str = "doc_id", signature: Column | None = None, verify: str = "exact", dense: int = 64, block: int = 256
 ) -> tuple[DataFrame, DataFrame]:
     """((id, component), (candidates, verified)): pairs that share a band are verified, and what remains is clustered.
 
     ``verify``: "exact" by the Jaccard similarity of the word shingles (as 64-bit hashes), "estimate" by that of the
-    signatures. Candidates are pairs of distinct shingle sets, or of distinct signatures; equal ones are one class.
-    Documents without a signature are components of their own.
+    signatures. Candidates are pairs of distinct shingle sets, or of distinct signatures; equal ones are one class. A
+    bucket of more than ``dense`` classes is compared in blocks in numpy, so it makes links and no row for each pair.
+    Documents without a signature are components of their own. Ids are distinct longs.
     """
     if verify not in ("exact", "estimate"):
         raise ValueError(f"verify = {verify}")
-    signed = spread(docs).select(F.col(id_col).alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature"), *([shingle_set(F.col("text")).alias("members")] if verify == "exact" else []))
+    signed = spread(docs).select(F.col(id_col).cast("long").alias("id"), (portable_signature(F.col("text"), k) if signature is None else signature).alias("signature"), *([shingle_set(F.col("text")).alias("members")] if verify == "exact" else []))
     by, alike = ("members", set_jaccard) if verify == "exact" else ("signature", estimated_jaccard)
     every = Stash(signed.withColumn("name", F.when(F.col("signature").isNotNull(), F.sha2(F.array_join(F.col(by).cast("array<string>"), "_"), 256))), "signed").df
     rows = every.where("signature is not null")
     classes = Stash(rows.groupBy("name").agg(F.min("id").alias("id")), "classes").df
-    firsts = Stash(rows.join(classes, ["name", "id"]).dropDuplicates(["id"]), "firsts").df
-    pairs = candidate_pairs(firsts.select("id", "signature"), b, k // b)
-    values = firsts.select("id", by)
-    sim = pairs.join(values.toDF("a", "sa"), "a").join(values.toDF("b", "sb"), "b").withColumn("similarity", alike(F.col("sa"), F.col("sb")))
-    checked = Stash(sim.select("a", "b", "similarity"), "checked").df
+    firsts = rows.join(classes, ["name", "id"]).dropDuplicates(["id"])
+    held = Stash(firsts.select("id", band_hashes(F.col("signature"), b, k // b).alias("keys"), F.col(by).alias("value")), "firsts").df
+    values = held.select("id", "value")
+    keyed = held.select("id", "keys", F.posexplode("keys").alias("band", "key"))
+    sizes = Stash(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes").df
+    few = keyed.join(sizes.where(F.col("n") <= dense).drop("n"), ["band", "key"])
+    first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), True) - 1
+    pairs = few.toDF("band", "key", "a", "ka").join(few.toDF("band", "key", "b", "kb"), ["band", "key"]).where((F.col("a") < F.col("b")) & (first == F.col("band"))).select("a", "b")
+    sim = pairs.join(values.toDF("a", "sa"), "a").join(values.toDF("b", "sb"), "b").select("a", "b", alike(F.col("sa"), F.col("sb")).alias("similarity"))
+    checked = Stash(sim, "checked").df
+    crowded = Stash(_crowded_links(keyed.join(sizes.where(F.col("n") > dense), ["band", "key"]), values, threshold, verify == "exact", block), "links").df
     copies = rows.select("id", "name").join(classes.withColumnRenamed("id", "first"), "name").where("id != first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
-    good = checked.where(F.col("similarity") >= threshold)
-    c = connected_components(good.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(copies))
+    good = checked.where(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    c = connected_components(good.union(crowded.where("src is not null").select("src", "dst")).union(copies))
     ids = every.select("id").join(c.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    stats = checked.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("similarity") >= threshold).alias("verified"))
+    counts = checked.select(F.lit(1).cast("long").alias("candidates"), (F.col("similarity") >= threshold).cast("long").alias("verified")).union(crowded.select("candidates", "verified"))
+    stats = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("candidates", "verified")])
     return ids, stats
 
 

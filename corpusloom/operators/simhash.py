@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.operators.graph import connected_components
+from corpusloom.operators.graph import connected_components, spanning_links
 from corpusloom.plans.storage import Stash
 
 FEATURE_BITS, DISTANCE, BLOCKS, GRAM, LEAST, DENSE = 64, 3, 4, 3, 5, 256
@@ -79,20 +79,7 @@ def _near_sets(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.n
         a, b = np.nonzero(np.bitwise_count(left[i : i + 128, None] ^ right[None, :]) <= distance)
         src.append(a + i)
         dst.append(b + len(left))
-    a, b = np.concatenate(src), np.concatenate(dst)
-    # A tree that spans the pairs' connected sets is enough; it has fewer links than places.
-    n, label = len(left) + len(right), np.arange(len(left) + len(right))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero(label != np.arange(n))
-    return at, label[at]
+    return spanning_links(np.concatenate(src), np.concatenate(dst), len(left) + len(right))
 
 
 def near_edges(signed: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bits: int = FEATURE_BITS, id_col: str = "id", sig: str = "simhash", dense: int = DENSE, block: int = 2048) -> DataFrame:

@@ -214,6 +214,24 @@ def test_near_edges_in_blocks(spark, dense, block):
     assert {i: got.get(i, i) for i in range(len(sigs))} == {i: find(i) for i in range(len(sigs))} and 999 not in got
 
 
+@pytest.mark.parametrize("verify", ["exact", "estimate"])
+def test_crowded_buckets_give_the_same_clusters_and_counts(spark, verify):
+    r = random.Random(14)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 4, 9])):
+            w[r.randrange(60)] = f"x{k}"
+        texts.append(" ".join(w))
+    docs = docs_of(spark, [*texts, "short", None, texts[3]])
+    got = []
+    for dense, block in ((10**6, 256), (0, 16), (10, 50)):
+        ids, stats = minhash.verified_clusters(docs, 0.75, verify=verify, dense=dense, block=block)
+        got.append(({x.id: x.component for x in ids.collect()}, tuple(stats.first())))
+    assert got[0] == got[1] == got[2] and got[0][1][0] > got[0][1][1] > 50 and len(set(got[0][0].values())) > 3
+
+
 def brute_spans(texts, k):
     grams = Counter(tuple(w[i : i + k]) for w in map(str.split, texts) for i in range(len(w) - k + 1))
     covered = [{j for i in range(len(w) - k + 1) if grams[tuple(w[i : i + k])] > 1 for j in range(i, i + k)} for w in map(str.split, texts)]
