@@ -14,6 +14,7 @@ with ``control_text=True`` it is ordinary text, which is the safe way for texts
 from __future__ import annotations
 
 import os
+import re
 import sys
 from array import array
 from collections.abc import Callable
@@ -24,6 +25,8 @@ import regex
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LAST_LATIN = "ɏ"
+_BEYOND_LATIN = re.compile(f"[^\\x00-{LAST_LATIN}]").search
+_MARKS = frozenset(".,;:!?")
 #: Bytes of the table of pieces (or of counts) that a worker holds, and about what an entry takes beside key and value.
 TABLE_BYTES, ENTRY_BYTES = 96 << 20, 100
 
@@ -82,7 +85,7 @@ class Encoder:
         self.controls = () if control_text else tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.letters, self.byte_level = _byte_letters(), byte_level
         self.find = regex.compile(BYTE_LEVEL if byte_level else WORD_LEVEL).findall
-        self.model, self.normal = self.library.model, self.library.normalizer
+        self.model = self.library.model
         self.lead = self.letters[ord(" ")] if byte_level else ""
         self.cores, self.pieces = _Memo(self._core, table_bytes // 8), _Memo(self._piece, table_bytes)
         self.counts = _Memo(self._pretoken, table_bytes)
@@ -97,32 +100,29 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _pretoken(self, token: str) -> int:
-        return len(self.whole(token) if not token.isascii() and max(token) > LAST_LATIN else self._core(token)) // 4
+        return len(self.whole(token) if not token.isascii() and _BEYOND_LATIN(token) else self._core(token)) // 4
 
     def _word(self, word: str) -> bytes:
-        """Of an ASCII word behind a blank, which needs no table of letters."""
-        return array("I", [t.id for t in self.model.tokenize(self.lead + word)]).tobytes()
+        """Of Latin letters behind a blank; ASCII ones need no table of letters."""
+        if word.isascii():
+            return array("I", [t.id for t in self.model.tokenize(self.lead + word)]).tobytes()
+        return self._core(" " + word if self.byte_level else word)
+
+    def _known_word(self, word: str) -> bytes:
+        """The same for a word that may be in the tables; it is not put there."""
+        return self.pieces.get(word) or self.pieces.old.get(word) or self._word(word)
 
     def _piece(self, piece: str) -> bytes:
         """Of what stands behind a blank, or of a line feed and what stands behind it."""
-        if piece.isascii():
-            if not self.byte_level:
-                piece = piece.lower()
-            if piece.isalpha():
-                return self._word(piece)
-            word = piece[:-1]
-            if word.isalpha() and piece[-1] in ".,;:!?":
-                return (self.pieces.get(word) or self._word(word)) + self.cores[piece[-1]]
-        elif max(piece) > LAST_LATIN:
+        if not piece.isascii() and _BEYOND_LATIN(piece):
             piece = "\n" * piece.startswith("\n") + self._stripped(piece)
             return self.whole(piece if piece[0] == "\n" else " " + piece)
-        elif not self.byte_level:
-            feed = piece[0] == "\n"
-            piece = "\n" * feed + self.normal.normalize_str(self._stripped(piece))
-        word = piece[:-1] if piece[-1:] in ".,;:!?" else piece
-        if word.isalpha():  # a word, or a word and a mark
-            core = self._core(" " + word if self.byte_level else word)
-            return core if word is piece else core + self.cores[piece[-1]]
+        if not self.byte_level:
+            piece = piece.lower()  # what the normaliser does to Latin letters
+        if piece.isalpha():
+            return self._word(piece)
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            return self._known_word(piece[:-1]) + self.cores[piece[-1]]
         self._stripped(piece)
         return b"".join(map(self.cores.__getitem__, self.find(piece if piece[0] == "\n" else " " + piece)))
 
