@@ -63,10 +63,15 @@ def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) ->
 
 
 class Stash:
-    """A written table: ``df`` reads it, ``drop()`` deletes its files once nothing needs them."""
+    """A written table: ``df`` reads it, ``drop()`` deletes its files once nothing needs them.
 
-    def __init__(self, df: DataFrame, label: str = "stash"):
+    ``short``: a row or so per task, as of a list of files. It is written by one task, so that the others need not each
+    write a file of one row.
+    """
+
+    def __init__(self, df: DataFrame, label: str = "stash", short: bool = False):
         spark = df.sparkSession
+        df = df.repartition(1) if short else df
         self.path = scratch_path(spark, label)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
