@@ -162,6 +162,30 @@ def test_orders_and_running_sums(spark):
     assert numbered(df.limit(0).select("id", "k"), ["k"]).count() == 0 and running_sums(df.limit(0), ["k"], "v").count() == 0
 
 
+def test_scratch_tables_go_with_their_block(spark, tmp_path):
+    from pathlib import Path
+
+    from corpusloom.plans.storage import Stash, finished, scratch, spread
+
+    there = lambda s: Path(s.path.removeprefix("file:")).exists()
+    before = Stash(spark.range(3))
+    with scratch(spark):
+        inner = Stash(spark.range(40, numPartitions=8), short=True)
+        assert len(list(Path(inner.path.removeprefix("file:")).glob("part-*"))) == 1
+
+        def make():
+            make.own = Stash(spark.range(5))
+            return make.own.df.where("id > 1")
+
+        kept = finished(spark, make, "kept")
+        assert not there(make.own) and there(kept) and kept.df.count() == 3 and there(inner)
+    assert there(before) and not there(inner) and not there(kept)
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    assert spread(spark.range(7)).rdd.getNumPartitions() == spark.range(7).rdd.getNumPartitions()
+
+
 def test_edges_with_ties_and_nulls(spark):
     r = random.Random(6)
     data = [float(r.choice([1, 2, 2, 2, 5, 9, 100])) if r.random() < 0.8 else r.random() for _ in range(777)]
