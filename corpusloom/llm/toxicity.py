@@ -41,7 +41,7 @@ SUPPORT = 30
 #: positives: those that look most toxic at that time.
 NEGATIVES = 8
 #: Words whose value a worker remembers (about 150 bytes each).
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 #: Bounds of the training sample, in texts of each class and in bytes of text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 48 << 20
 CUT = 0.7
@@ -112,9 +112,9 @@ class _Bags:
                 continue
             # Windows side by side; the last one ends with the text, so every word is in a window of full size.
             at = np.unique(np.minimum(np.arange(0, len(own), WINDOW), max(0, len(own) - WINDOW)))
-            begins.append(at + len(ids))
-            sizes.append(np.minimum(WINDOW, len(own) - at))
-            text_of.append(np.full(len(at), len(self.kept)))
+            begins.append((at + len(ids)).astype("i4"))  # the sample's bytes are bounded, so there are far fewer words
+            sizes.append(np.minimum(WINDOW, len(own) - at).astype("i1"))
+            text_of.append(np.full(len(at), len(self.kept), "i4"))
             self.kept.append(k)
             ids.extend(own)
         self.ids = np.frombuffer(ids, "i4") if ids else np.zeros(0, "i4")
@@ -133,7 +133,7 @@ class _Bags:
 
     def flat(self, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of the chosen windows: words that occur, the place of each token's word among them, its window, sizes."""
-        sizes = self.sizes[chosen]
+        sizes = self.sizes[chosen].astype("i8")
         at = np.repeat(self.begins[chosen] - np.cumsum(np.r_[0, sizes])[:-1], sizes) + np.arange(sizes.sum())
         used, place = np.unique(self.ids[at], return_inverse=True)
         return used, place, np.repeat(np.arange(len(chosen)), sizes), sizes
