@@ -141,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, byte_level:
 
     Ids ascend within a file and from file to file (nulls first); rows that share an id are in the order of a hash of
     their texts, so a task that runs again writes the same file. A null text is the end id alone; repeated rows are
-    written each. The rows are written as a table when the files are, so lost executors cost their own files only.
+    written each. The list is written as a table when all files are, so a lost executor costs its own files only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, byte_level:
     # The row's own number is the last key, so that many rows of one id and text are shared by tasks; such rows are alike.
     keyed = texts.withColumns({"h": F.xxhash64("text"), "own": F.monotonically_increasing_id()})
     done = range_sorted(keyed, ["doc_id", "h", "own"]).select("doc_id", "text").mapInArrow(run, "part int, path string, documents long, tokens long, least long, most long, nulls boolean")
-    return Stash(done, "token_files").df
+    return Stash(done, "token_files", short=True).df
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

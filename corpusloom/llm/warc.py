@@ -149,7 +149,7 @@ def normalise_folder(pages: DataFrame, monoliths: str, folder: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n]), pa.array([size])], names=["path", "n_records", "n_bytes"])
 
     done = files.repartition(max(1, files.count()), "path").mapInArrow(run, "path string, n_records long, n_bytes long")
-    return Stash(done, "archives").df
+    return Stash(done, "archives", short=True).df
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
