@@ -31,7 +31,7 @@ def duplicate_line_chars(text: Column) -> Column:
 def sorted_grams(words: Column, n: int) -> Column:
     """Array of (gram, i) of all n-grams of words and their places (from 0), in order of gram and place."""
     grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(F.array_join(F.slice(words, i, F.lit(n)), " ").alias("gram"), (i - 1).alias("i")))
-    return F.when(F.size(words) >= n, F.array_sort(grams)).otherwise(F.array().cast("array<struct<gram:string,i:int>>"))
+    return F.when(F.size(words) >= n, F.sort_array(grams)).otherwise(F.array().cast("array<struct<gram:string,i:int>>"))
 
 
 def top_chars(words: Column, n: int) -> Column:
@@ -49,7 +49,7 @@ def covered_chars(words: Column, n: int) -> Column:
     """Characters of the words that lie in an n-gram which the text has had before."""
 
     def starts(g: Column) -> Column:
-        return F.array_sort(F.transform(F.filter(g, lambda x, j: (j > 0) & (F.get(g, j - 1)["gram"] == x["gram"])), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(g, lambda x, j: (j > 0) & (F.get(g, j - 1)["gram"] == x["gram"])), lambda x: x["i"]))
 
     def add(s: Column, i: Column) -> Column:
         at = F.greatest(i, s["end"])
@@ -60,8 +60,8 @@ def covered_chars(words: Column, n: int) -> Column:
 
 
 def _fraction(docs: DataFrame, chars, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(id_col, F.length(text_col).alias("len"), whitespace_words(F.col(text_col)).alias("w"))
-    return rows.select(id_col, F.when(F.col("len") == 0, 0.0).otherwise(chars(F.col("w")) / F.col("len")).alias("fraction"))
+    share = bound(whitespace_words(F.col(text_col)), chars) / F.length(text_col)
+    return docs.select(id_col, F.when(F.length(text_col) == 0, 0.0).otherwise(share).alias("fraction"))
 
 
 def top_ngram_fraction(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,32 +74,32 @@ def covered_fraction(docs: DataFrame, n: int, id_col: str = "doc_id", text_col:
     return _fraction(docs, lambda w: covered_chars(w, n), id_col, text_col)
 
 
-def repetitive(text: Column, words: Column) -> Column:
-    """Whether a rule fires. The rules are tried in order, cheap ones first, and none after one that fires."""
-    size = F.length(text)
-    rules = [duplicate_line_fraction(text) > LINE_FRACTION, duplicate_line_chars(text) > LINE_CHARS]
-    rules += [top_chars(words, n) / size > t for n, t in TOP_GRAMS.items()] + [covered_chars(words, n) / size > t for n, t in COVERED_GRAMS.items()]
-    out = F.when(size == 0, False)
-    for rule in rules:
-        out = out.when(rule, True)
-    return out.otherwise(False)
+def repetitive(text: Column) -> Column:
+    """Whether a rule fires. The rules are tried in order, cheap ones first, and none after one that fires.
+
+    Text and words are bound to lambda variables: the optimiser moves filters below projections and would otherwise put
+    the expression of the words in place of each of their uses, inside loops too.
+    """
+
+    def of(t: Column, words: Column) -> Column:
+        size = F.length(t)
+        rules = [duplicate_line_fraction(t) > LINE_FRACTION, duplicate_line_chars(t) > LINE_CHARS]
+        rules += [top_chars(words, n) / size > x for n, x in TOP_GRAMS.items()] + [covered_chars(words, n) / size > x for n, x in COVERED_GRAMS.items()]
+        out = F.when(size == 0, False)
+        for rule in rules:
+            out = out.when(rule, True)
+        return out.otherwise(False)
+
+    return bound(F.coalesce(text, F.lit("")), lambda t: bound(whitespace_words(t), lambda w: of(t, w)))
 
 
 def is_repetitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalize=None) -> DataFrame:
     """id, repetitive: whether any rule fires on the (normalised) text; null and empty texts are not repetitive."""
-    base = docs.select(id_col, F.coalesce(normalize(F.col(text_col)) if normalize else F.col(text_col), F.lit("")).alias("text"))
-    return base.select(id_col, "text", whitespace_words(F.col("text")).alias("w")).select(id_col, repetitive(F.col("text"), F.col("w")).alias("repetitive"))
+    text = F.col(text_col)
+    return docs.select(id_col, repetitive(normalize(text) if normalize else text).alias("repetitive"))
 
 
 def remove_repetitive(docs: DataFrame, text_col: str = "text", normalize=None) -> DataFrame:
     """``docs`` without repetitive rows: a filter on each row's own text, with no shuffle."""
-    text, words = fresh(docs, "__text"), fresh(docs, "__words")
-    rows = docs.withColumn(text, F.coalesce(normalize(F.col(text_col)) if normalize else F.col(text_col), F.lit("")))
-    return rows.withColumn(words, whitespace_words(F.col(text))).where(~repetitive(F.col(text), F.col(words))).drop(text, words)
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, or a longer one if there is a column called so."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
+    text = F.col(text_col)
+    return docs.where(~repetitive(normalize(text) if normalize else text))

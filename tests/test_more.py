@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import filters as f, hashing as h, ngrams as g, normalize as n
-from corpusloom.operators import bloom, dedup, dialogue, minhash, scoring, simhash, substring, vocab
+from corpusloom.operators import bloom, dedup, dialogue, minhash, repetition, scoring, simhash, substring, vocab
 from corpusloom.operators.graph import connected_components
 from corpusloom.plans.ordering import numbered, running_sums
 from corpusloom.sources import text as src
@@ -91,6 +91,38 @@ def test_segmenters(spark):
     assert values(spark, ["a b", None], lambda c: g.segmented(str.split)(c)) == [["a", "b"], None]
 
 
+def is_repetitive(t):
+    if not t:
+        return False
+    lines, words = t.split("\n"), t.split()
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    if len(again) / len(lines) > 0.3 or sum(map(len, again)) / len(t) > 0.2:
+        return True
+    for n, most in repetition.TOP_GRAMS.items():
+        c = Counter(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
+        if max(((len(x) - n + 1) * (k - 1) for x, k in c.items()), default=0) / len(t) > most:
+            return True
+    for n, most in repetition.COVERED_GRAMS.items():
+        met, covered = set(), set()
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i : i + n])
+            covered |= set(range(i, i + n)) if gram in met else set()
+            met.add(gram)
+        if sum(len(words[i]) for i in covered) / len(t) > most:
+            return True
+    return False
+
+
+def test_repetition_filter_against_brute_force(spark):
+    r = random.Random(15)
+    texts = [None, "", "a", "x\n" * 5] + ["".join(r.choice(["aa", "b", "cccc", "dd", "ee f gg"]) + r.choice(" \n    ") for _ in range(r.randint(1, 60))) for _ in range(30)]
+    texts += [" ".join(f"w{r.randint(0, k)}" for _ in range(80)) for k in (5, 40, 200, 2000, 9000)]
+    want = {i for i, t in enumerate(texts) if not is_repetitive(t)}
+    assert {x.doc_id for x in repetition.remove_repetitive(docs_of(spark, texts)).collect()} == want and 3 < len(want) < len(texts) - 3
+    spaced = [x.doc_id for x in repetition.is_repetitive(docs_of(spark, texts), normalize=n.normalize_for_dedup).where("repetitive").collect()]
+    assert spaced
+
+
 # -- hashes, Bloom ---------------------------------------------------------------------------------------------------
 
 
