@@ -24,6 +24,35 @@ def test_encoder_equals_the_library(name, byte_level, control_text):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name,byte_level,words", [("byte_bpe_50k.json", True, ["zorblefant", "Zorblefant", "écheauan"]), ("word_bpe_49k.json", False, ["zorblefant", "écheauan"])])
+def test_the_model_is_asked_once_for_a_word(name, byte_level, words):
+    e = Encoder(vocabulary(name), byte_level)
+    asked, model = [], e.model
+
+    class Counted:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return model.tokenize(letters)
+
+    e.model = Counted()
+    pieces = ["zorblefant,", "écheauan.***", "zorblefant.", "Zorblefant###", "zorblefant", "Zorblefant,", "écheauan", "Zorblefant"]
+    text = "a " + " ".join(pieces * 3)
+    assert e.encode(text) == e.whole(text)
+    assert len([x for x in asked if len(x) > 5]) == len(words), asked
+
+
+@pytest.mark.parametrize("name,byte_level", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_every_latin_letter_and_mark_around_a_word(name, byte_level):
+    from tokenizers import Tokenizer
+
+    library, e = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name), byte_level, table_bytes=20_000)
+    for code in range(0x250):
+        c = chr(code)
+        text = " ".join(["x", f"A{c}b", f"a{c}b,", f"{c}", f"{c}.", f"ab{c}", f"ab{c}'", f"'ab{c}", f"\nAb{c}!?", f"ab{c}'s", f"ab_{c}", f"Ab{c}\n{c}Ab."])
+        for _ in range(2):
+            assert np.frombuffer(e.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(c)
+
+
 def test_tables_stay_within_their_bytes():
     import sys
 
