@@ -60,6 +60,27 @@ def test_against_the_library(odd_docs, make_docs):
         assert at <= 64
 
 
+def test_rare_pieces_leave_room_for_words():
+    """Words that a table of a given size can hold are not given to the model again for each ending they come with."""
+    from corpusloom.llm.tokens import Encoder
+
+    e, r = Encoder(PATH, True, table_bytes=400_000), random.Random(5)
+    asked, model = [], e.model
+
+    class Counted:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return model.tokenize(letters)
+
+    e.model = Counted()
+    words = sorted({"".join(r.choices("abcdefghi", k=9)) for _ in range(500)})
+    ends = ["", ".", ",", "!", "###", ".***", "$$$", "%"]
+    for _ in range(40):
+        text = "a " + " ".join(w + r.choice(ends) for w in r.sample(words, len(words)))
+        assert e.encode(text) == e.whole(text)
+    assert len(asked) < 3 * len(words)
+
+
 def test_hot_length_and_empty(spark, make_docs):
     rows = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "id as ids_crc32", "cast(if(id % 3 = 0, 5, 1 + id % 8) as bigint) as length")
     got = pack(rows, 8).toPandas()
