@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.normalize import SPACES, strip
+from corpusloom.plans.storage import Stash, spread
 
 
 def bound(value: Column, make) -> Column:
@@ -13,6 +14,31 @@ def bound(value: Column, make) -> Column:
     return F.transform(F.array(value), make)[0]
 
 
+def gram_stats(docs: DataFrame, grams: Column, id_col: str = "doc_id") -> DataFrame:
+    """id, n, n_distinct, least, most: the number of grams of an id, of distinct ones, and the least and greatest MD5.
+
+    The grams of a row are counted in their row, so what is shuffled is a row of figures per document and no gram. Ids that
+    several rows share are counted once more, gram by gram, since the distinct grams of two rows do not add up.
+    """
+
+    def of(x: Column) -> Column:
+        figures = lambda d, h: F.struct(F.size(x).cast("long").alias("n"), F.size(d).cast("long").alias("n_distinct"), F.array_min(h).alias("least"), F.array_max(h).alias("most"))
+        return bound(F.filter(F.array_distinct(x), lambda g: g.isNotNull()), lambda d: bound(F.transform(d, lambda g: F.md5(g)), lambda h: figures(d, h)))
+
+    docs = spread(docs)
+    rows = docs.select(id_col, F.inline(F.array(bound(grams, of)))).where("n > 0")
+    sums = rows.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum("n_distinct").alias("n_distinct"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("rows"))
+    held = Stash(sums, "grams").df
+    again = held.where("rows > 1").select(F.col(id_col).alias("__id"))
+    done = held.drop("rows")
+    if again.isEmpty():
+        return done
+    shared = docs.join(again, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").select(F.col(id_col).alias("__id"), F.explode(grams).alias("x"))
+    exact = shared.groupBy("__id").agg(F.count_distinct("x").alias("__d"), F.lit(True).alias("__found"))
+    joined = done.join(exact, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    return joined.select(id_col, "n", F.when(F.col("__found"), F.col("__d")).otherwise(F.col("n_distinct")).alias("n_distinct"), "least", "most")
+
+
 def _slide(text: Column, gram: str, step: str) -> Column:
     """Every overlapping match of ``gram``, in one pass: what lies ahead is captured, then ``step`` is consumed."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=({gram})){step}"), F.lit(1)), F.array().cast("array<string>"))
