@@ -8,7 +8,7 @@ from corpusloom.functions import filters as f, hashing as h, ngrams as g, normal
 from corpusloom.operators import dedup, dialogue, minhash, scoring, substring, vocab
 from corpusloom.plans.ordering import numbered
 from corpusloom.plans.queries import _MERGED_WORDS, KEYS, ORACLES, SIGNATURE, SIGS, SPACE_WORDS, T, column, query, read
-from corpusloom.plans.storage import Stash, scratch_path, spread
+from corpusloom.plans.storage import Stash, once, scratch_path, spread
 from corpusloom.sources import text as src
 
 WORDS = SPACE_WORDS.format("text")
@@ -64,7 +64,7 @@ query("t13_vocab_with_symbols", None, f"WITH b AS ({_MERGED_WORDS}), e AS (SELEC
 def _longest_match(spark, d) -> DataFrame:
     words = numbered(vocab.word_tokens(read(spark, d, "benchmark")), ["token"], "id", 1024)
     rows = [(r.token, r.id) for r in scoring.first_rows(words, 65_536 - 1024, ["token"]).collect()]  # ids end at 65,535
-    coded = spread(read(spark, d, "documents")).select("doc_id", "text", vocab.encode_udf(rows)("text").alias("ids"))
+    coded = once(spread(read(spark, d, "documents")), "ids", vocab.encode_udf(rows)("text"), "doc_id", "text")
     return coded.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("value"), (vocab.decode_udf(rows)("ids") == F.col("text")).alias("same"))
 
 

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,3 +101,9 @@ def spread(df: DataFrame) -> DataFrame:
     few = 0 < len(df.inputFiles()) < cores
     small = few and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     return df.repartition(cores) if small else df
+
+
+def once(df: DataFrame, name: str, value: Column, *keep: str | Column) -> DataFrame:
+    """``keep`` and ``value``, computed once a row. A plain column of a Python function is computed again by a filter on it,
+    which the optimiser moves below it, and by a second Python function of its result, which would hold the first one."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))

@@ -6,6 +6,8 @@ import random
 import duckdb
 import pytest
 
+from corpusloom.operators import vocab
+from corpusloom.plans import extra  # noqa: F401  (registers more)
 from corpusloom.plans.queries import ORACLES, QUERIES
 
 
@@ -79,3 +81,35 @@ ODD = ["", None, " ", "\n", "\n\n", "a", "é", "á b́", "😀", "a😀b😀", "
 @pytest.mark.parametrize("name", ["a2_duplicate_line_chars", "f3_ascii_filter", "f3_ascii_filter_as_written", "f3_ascii_percent", "t6_code_points", "f10_repetition_filter", "a3_top_2gram", "a4_covered_5gram"])
 def test_odd_texts_against_sql(spark, documents, name):
     agrees(spark, name, documents(list(enumerate(ODD))))
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def greedy(ids, data):
+    at, out = 0, []
+    while at < len(data):
+        n = next((n for n in range(len(data) - at, 0, -1) if data[at : at + n] in ids), 0)
+        out.append(ids[data[at : at + n]] if n else data[at] + 1)
+        at += n or 1
+    return out
+
+
+@pytest.mark.parametrize("glue", ["", " "])
+def test_longest_match_against_all_lengths(glue):
+    """Tokens that begin alike, also with blanks in them; pieces are remembered, forgotten and met again."""
+    draw = random.Random(4)
+    some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    words = {some("abé" + glue, draw.randint(1, 6)) for _ in range(60)} | {" "}
+    t = vocab.LongestMatch([(w, 300 + i) for i, w in enumerate(sorted(words))], most=5)
+    assert t.apart == (not glue)
+    for _ in range(200):
+        text = some("abéc \n😀", draw.randint(0, 90))
+        assert t.encode(text) == greedy(t.ids, text.encode()) and t.decode(t.encode(text)) == text
+
+
+def test_longest_match_encodes_a_text_once(spark):
+    df = QUERIES["t12_longest_match"](spark, "/root/testdata/sf0.001")
+    assert "decode(encode" not in plan_of(df)
+    assert df.where("same").count() == df.count() == 200
