@@ -18,12 +18,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions.hashing import MASK32, murmur3_32
+from corpusloom.functions.hashing import MASK32, murmur3_minima
 from corpusloom.functions.normalize import feature_text
 from corpusloom.functions.similarity import estimated_jaccard
 from corpusloom.operators.graph import connected_components, spanning_links
 from corpusloom.plans.ordering import numbered
-from corpusloom.plans.storage import Stash, spread
+from corpusloom.plans.storage import Stash, once, spread
 
 PRIME = (1 << 31) - 1
 BUCKETS, BUCKET_SIZE, GRAM = 20, 10, 5
@@ -38,7 +38,7 @@ def permutations(k: int) -> list[tuple[int, int]]:
 
 def portable_signature(text: Column, k: int = 32, n: int = 5) -> Column:
     """Signature over n-word shingles of ASCII words; null for fewer than n words."""
-    maps = np.array(permutations(k), "i8")
+    factors, summands = np.array(permutations(k), "u8").T[:, :, None]
 
     def one(t: str | None) -> np.ndarray | None:
         words = [w for w in _APART(t.lower()) if w] if t else []
@@ -46,11 +46,8 @@ def portable_signature(text: Column, k: int = 32, n: int = 5) -> Column:
             return None
         digest = hashlib.md5
         grams = set(map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
-        h = np.frombuffer(b"".join([digest(g.encode()).digest()[:4] for g in grams]), ">u4").astype("i8") >> 4  # seven hex digits
-        least = np.full(k, PRIME, "i8")
-        for i in range(0, len(h), 4096):
-            least = np.minimum(least, ((h[i : i + 4096, None] * maps[:, 0] + maps[:, 1]) % PRIME).min(axis=0))
-        return least
+        h = np.frombuffer(b"".join([digest(g.encode()).digest()[:4] for g in grams]), ">u4").astype("u8") >> np.uint64(4)  # seven hex digits
+        return affine_31(h, factors, summands)
 
     @F.pandas_udf("array<long>")
     def sign(s: pd.Series) -> pd.Series:
@@ -59,6 +56,23 @@ def portable_signature(text: Column, k: int = 32, n: int = 5) -> Column:
     return sign(text)
 
 
+def affine_31(h: np.ndarray, factors: np.ndarray, summands: np.ndarray, block: int = 512) -> np.ndarray:
+    """The least (h a + b) mod PRIME of each pair of columns a, b, for h below 2^28 and a, b of at most 2^28, so that one
+    fold at bit 31 (2^31 is 1 for this modulus) and one subtraction reduce it; ``block`` values at a time stay in the cache."""
+    prime, top = np.uint64(PRIME), np.uint64(31)
+    least = np.full(len(factors), PRIME, "u8")
+    for i in range(0, len(h), block):
+        x = factors * h[i : i + block]
+        x += summands
+        y = x >> top
+        x &= prime
+        x += y
+        np.subtract(x, prime, out=y)  # wraps round to a large number where x is the lesser
+        np.minimum(x, y, out=x)
+        np.minimum(least, x.min(axis=1), out=least)
+    return least.astype("i8")
+
+
 def bands(signature: Column, b: int, r: int) -> Column:
     """Array of (band, key) of a signature of at least b x r values."""
     return F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.struct(i.alias("band"), F.md5(F.array_join(F.slice(signature, i * r + 1, F.lit(r)).cast("array<string>"), "_")).alias("key")))
@@ -70,7 +84,7 @@ def share_band(a: Column, b: Column) -> Column:
 
 def exploded(docs: DataFrame, signature: Column, b: int, r: int, id_col: str = "doc_id") -> DataFrame:
     """id, band, key. A document without a signature has no keys; ``flags`` and ``cluster`` give it a row from ``ids``."""
-    return spread(docs).select(F.col(id_col).alias("id"), signature.alias("s")).where("s is not null").select("id", F.inline(bands(F.col("s"), b, r)))
+    return once(spread(docs), "s", signature, F.col(id_col).alias("id")).where("s is not null").select("id", F.inline(bands(F.col("s"), b, r)))
 
 
 def _every(ids: DataFrame) -> DataFrame:
@@ -152,16 +166,25 @@ def set_jaccard(a: Column, b: Column) -> Column:
     return share(a, b)
 
 
+#: Columns of the incidence matrices that are multiplied at once.
+COLUMNS = 4096
+
+
 def _similarities(x: list[np.ndarray], y: list[np.ndarray], exact: bool) -> np.ndarray:
     """All similarities of two blocks: of sets of hashes by the product of their incidence matrices, of signatures by
     equal positions."""
     if not exact:
         return np.stack([(np.stack(y) == v).mean(axis=1) for v in x])
-    every, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
     sizes = np.array([len(v) for v in [*x, *y]])
-    held = np.zeros((len(sizes), len(every)), "f4")
-    held[np.repeat(np.arange(len(sizes)), sizes), at] = 1
-    both = held[: len(x)] @ held[len(x) :].T
+    every, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    both = np.zeros((len(x), len(y)), "f4")
+    ends = np.searchsorted(at, np.arange(0, len(every) + COLUMNS, COLUMNS))
+    for first, a, b in zip(range(0, len(every), COLUMNS), ends[:-1], ends[1:], strict=False):
+        held = np.zeros((len(sizes), COLUMNS), "f4")
+        held[row[a:b], at[a:b] - first] = 1
+        both += held[: len(x)] @ held[len(x) :].T
     return both / (sizes[: len(x), None] + sizes[None, len(x) :] - both)
 
 
@@ -251,18 +274,9 @@ def merged(signatures: DataFrame, group: str, col: str = "signature") -> DataFra
 # -- signatures that other pipelines wrote ----------------------------------------------------------------------------
 
 
-def _grams(text: str, n: int) -> list[bytes]:
-    return [text[i : i + n].encode("utf-8") for i in range(len(text) - n + 1)]
-
-
 def _minima(text: str, n: int, k: int, signed: bool = False) -> np.ndarray:
-    grams, seeds = _grams(text, n) or [text.encode("utf-8")], np.arange(k, dtype="u4")
-    least = None
-    for i in range(0, len(grams), 2048):
-        h = murmur3_32(grams[i : i + 2048], seeds)
-        m = (h.view("i4") if signed else h).min(axis=0)
-        least = m if least is None else np.minimum(least, m)
-    return least
+    grams = {text[i : i + n] for i in range(len(text) - n + 1)} or {text}
+    return murmur3_minima([g.encode("utf-8") for g in grams], np.arange(k, dtype="u4"), signed)
 
 
 def bucket_signature(text: Column, buckets: int = BUCKETS, size: int = BUCKET_SIZE, n: int = GRAM) -> Column:

@@ -75,7 +75,7 @@ query("h4_hash_switch", "documents", "SELECT doc_id, 'md5' AS name, md5(text) AS
 query("h18_presets", None, "SELECT name, bands, rows FROM (VALUES ('450', 20, 450), ('40', 20, 40), ('10', 20, 10)) t(name, bands, rows)")(lambda spark, d: spark.createDataFrame([(str(r), b, r) for b, r in h.PRESETS], "name string, bands int, rows int"))
 query("h13_char_minhash", "documents")(lambda df: spread(df).select("doc_id", F.md5(F.concat_ws(",", minhash.char_signature(T()).cast("array<string>"))).alias("value")))
 query("h23_packed_signatures", "documents", f"WITH {SIGS} SELECT doc_id, 32::BIGINT AS n, sum(m)::BIGINT AS total FROM s GROUP BY doc_id")(
-    lambda df: spread(df).select("doc_id", minhash.unpack_signature(minhash.pack_signature(SIGNATURE())).alias("s")).where("s is not null").select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    lambda df: once(spread(df), "s", minhash.unpack_signature(minhash.pack_signature(SIGNATURE())), "doc_id").where("s is not null").select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 )
 
 # -- similarities of whole texts: the words of a text against those of its lower-cased form ----------------------------

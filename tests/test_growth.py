@@ -4,9 +4,11 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
-from corpusloom.operators import vocab
+from corpusloom.functions.hashing import murmur3_32, murmur3_minima
+from corpusloom.operators import minhash, vocab
 from corpusloom.plans import extra  # noqa: F401  (registers more)
 from corpusloom.plans.queries import ORACLES, QUERIES
 
@@ -113,3 +115,27 @@ def test_longest_match_encodes_a_text_once(spark):
     df = QUERIES["t12_longest_match"](spark, "/root/testdata/sf0.001")
     assert "decode(encode" not in plan_of(df)
     assert df.where("same").count() == df.count() == 200
+
+
+@pytest.mark.parametrize("name", ["db_blacklist", "h23_packed_signatures", "a10_merged_signature"])
+def test_a_signature_is_computed_once(spark, name):
+    assert plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")).count("sign(text") == 1
+
+
+def test_minima_against_plain_arithmetic():
+    draw = np.random.RandomState(3)
+    h = np.r_[0, (1 << 28) - 1, draw.randint(0, 1 << 28, 3000)].astype("u8")
+    pairs = [*minhash.permutations(30), (1 << 28, 1 << 28), (1, 0), (1 << 28, 0)]
+    a, b = np.array(pairs, "u8").T[:, :, None]
+    assert minhash.affine_31(h, a, b, 100).tolist() == [min((int(v) * x + y) % minhash.PRIME for v in h) for x, y in pairs]
+    seeds, grams = np.arange(40, dtype="u4"), [bytes(draw.randint(0, 256, n).tolist()) for n in (0, 1, 3, 4, 5, 5, 5, 8, 9, 15, 20)] * 30
+    for signed, kind in ((False, "u4"), (True, "i4")):
+        assert murmur3_minima(grams, seeds, signed, 7).tolist() == murmur3_32(grams, seeds).view(kind).min(axis=0).tolist()
+
+
+def test_similarities_of_sets_in_steps(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    draw = random.Random(6)
+    x, y = ([np.array(sorted(draw.sample(range(90), draw.randint(1, 60)))) for _ in range(n)] for n in (7, 5))
+    want = [[len(set(p) & set(q)) / len(set(p) | set(q)) for q in y] for p in x]
+    assert np.allclose(minhash._similarities(x, y, True), want)
