@@ -44,7 +44,7 @@ def word_tags(text: str) -> list[tuple[str, str]]:
 
 _LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 query("f7_sentence_check", "documents", f"SELECT doc_id FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(list_filter(w, lambda x: NOT list_contains({_LISTED(PARTICLES)}, x))) > 0 AND len(list_filter(w, lambda x: list_contains({_LISTED(PARTICLES + VERBS)}, x))) > 0")(
-    lambda df: spread(df).select("doc_id", "text", f.tag_lines(word_tags)("text").alias("t")).where(f.is_sentence(F.col("t.tag"), F.col("t.detail"), T())).select("doc_id")
+    lambda df: once(spread(df), "t", f.tag_lines(word_tags)("text"), "doc_id", "text").where(f.is_sentence(F.col("t.tag"), F.col("t.detail"), T())).select("doc_id")
 )
 query("t14_script_runs", "documents", f"WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{g.SCRIPT_RUNS_RE2}')) AS x FROM documents) SELECT doc_id, count(*) AS n, count(DISTINCT x) AS n_distinct, max(length(x))::BIGINT AS longest FROM r GROUP BY doc_id")(
     lambda df: df.select("doc_id", F.explode(g.script_runs(T())).alias("x")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("x").alias("n_distinct"), F.max(F.length("x")).cast("long").alias("longest"))

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from corpusloom.functions import filters
 from corpusloom.functions.hashing import murmur3_32, murmur3_minima
 from corpusloom.operators import minhash, vocab
 from corpusloom.plans import extra  # noqa: F401  (registers more)
@@ -139,3 +140,20 @@ def test_similarities_of_sets_in_steps(monkeypatch):
     x, y = ([np.array(sorted(draw.sample(range(90), draw.randint(1, 60)))) for _ in range(n)] for n in (7, 5))
     want = [[len(set(p) & set(q)) / len(set(p) | set(q)) for q in y] for p in x]
     assert np.allclose(minhash._similarities(x, y, True), want)
+
+
+def test_tags_are_python_objects_for_a_few_rows_only(spark, documents):
+    """The tagger of a long batch holds the tags of 64 rows at most; the result is SQL's."""
+    agrees(spark, "f7_sentence_check", documents([(i, t) for i, t in enumerate([*ODD, "of to", "of x", "x is y", "der"] * 40)]))
+    calls = []
+
+    def tagger(text):
+        import gc
+
+        calls.append(sum(isinstance(x, dict) and set(x) == {"tag", "detail"} for x in gc.get_objects()))
+        return [(w, "") for w in text.split()]
+
+    import pyarrow as pa
+
+    out = filters.tag_lines(tagger).func(pa.array([None, *["a b c"] * 200]))
+    assert len(out) == 201 and out[0].as_py() is None and out[200].as_py() == [{"tag": w, "detail": ""} for w in "abc"] and max(calls) == 0
