@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.ngrams import whitespace_words
 from corpusloom.plans.ordering import running_sums
-from corpusloom.plans.storage import Stash
+from corpusloom.plans.storage import Stash, once, spread
 
 
 def perplexity(log10_sum: Column, tokens: Column) -> Column:
@@ -35,17 +37,65 @@ def ngram_counts(docs: DataFrame, order: int, text_col: str = "text", words=None
     return w.select(F.inline(F.concat(*lists))).groupBy("n", "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
+#: Bytes of grams that are held as a dict by every worker.
+MODEL_BYTES = 16 << 20
+
+
+def _scored_in_rows(docs: DataFrame, counts: dict[str, int], total: int, order: int, back_off: float, id_col: str, text_col: str) -> DataFrame:
+    """id, s (the sum of the words' scores), k (words) of every row of which a word has a score."""
+    scores: dict[str, float | None] = {}
+    for gram, count in counts.items():
+        before = gram.rpartition(" ")[0]
+        below = counts.get(before) if before else total
+        scores[gram] = None if below is None else math.log10(count / below)  # as in a join: without its context a gram has no score
+    shared = docs.sparkSession.sparkContext.broadcast((scores, {g.rpartition(" ")[2] for g in counts}))
+    dropped, unseen, find = math.log10(back_off), math.log10(0.5 / total), re.compile(r"[^ \t\n\x0b\f\r]+").findall
+
+    @F.arrow_udf("struct<s:double,k:long>")
+    def score(texts: pa.Array) -> pa.Array:
+        (held, last), s, k = shared.value, [], []
+        for text in texts:
+            w = ["<s>", *find(text.as_py() or ""), "</s>"]
+            parts, lost = [], 0
+            for i in range(1, len(w)):
+                most = min(order, i + 1)
+                if w[i] in last:
+                    for n in range(most, 0, -1):
+                        gram = " ".join(w[i - n + 1 : i + 1])
+                        if gram in held:
+                            one = held[gram]
+                            if one is None:
+                                lost += 1
+                            else:
+                                parts.append(one + (most - n) * dropped)
+                            break
+                    else:
+                        parts.append(unseen + (most - 1) * dropped)
+                else:
+                    parts.append(unseen + (most - 1) * dropped)
+            s.append(math.fsum(parts))
+            k.append(len(w) - 1 - lost)
+        return pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(k, pa.int64())], ["s", "k"])
+
+    rows = once(spread(docs), "x", score(F.col(text_col)), F.col(id_col).alias("id")).where("x.k > 0")
+    return rows.select("id", "x.*")
+
+
 def backoff_scores(docs: DataFrame, counts: DataFrame, order: int, back_off: float = 0.4, id_col: str = "doc_id", text_col: str = "text", words=None) -> DataFrame:
     """id, log10_score, tokens, perplexity under n-gram ``counts`` (of ``ngram_counts``).
 
     A word's score is the relative frequency of the longest n-gram that ends with it and occurs in the counts, times
     ``back_off`` for every word of context dropped; a word that does not occur at all counts as half an occurrence. The
     end mark is scored like a word, the start mark is only context. ``counts`` may be any model of that form, so another
-    corpus or another order of smoothing can be plugged in. Equal grams of a document are scored once, with their number.
+    corpus or another order of smoothing can be plugged in. Counts of up to MODEL_BYTES go to all workers, and a text is
+    scored in its row; larger ones, and those of words that another function cuts, are joined to a text's distinct grams.
     """
     cut = whitespace_words if words is None else words
     model = counts.select("gram", "count")
-    total = counts.where("n = 1 and gram != '<s>'").agg(F.sum("count").alias("total")).first().total or 1  # one number
+    figures = counts.agg(F.sum(F.when((F.col("n") == 1) & (F.col("gram") != "<s>"), F.col("count"))).alias("total"), F.sum(F.octet_length("gram")).alias("bytes")).first()  # two numbers
+    total = figures.total or 1
+    if words is None and (figures.bytes or 0) <= MODEL_BYTES:
+        return _summed(_scored_in_rows(docs, {r.gram: r["count"] for r in model.collect()}, total, order, back_off, id_col, text_col), id_col)
     framed = docs.select(F.col(id_col).alias("id"), F.concat(F.array(F.lit("<s>")), F.coalesce(cut(F.col(text_col)), F.array().cast("array<string>")), F.array(F.lit("</s>"))).alias("w"))
     tail = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.slice("w", F.greatest(i - order + 1, F.lit(1)), F.least(i, F.lit(order))))
     level = framed.select("id", F.explode(tail).alias("t")).groupBy("id", "t").agg(F.count(F.lit(1)).alias("k")).withColumn("drops", F.lit(0))
@@ -63,7 +113,11 @@ def backoff_scores(docs: DataFrame, counts: DataFrame, order: int, back_off: flo
         else:
             part = with_counts.select("id", "k", (F.log10(F.coalesce(F.col("count"), F.lit(0.5)) / total) + F.col("drops") * math.log10(back_off)).alias("s"))
         scored = part if scored is None else scored.unionByName(part)
-    sums = scored.groupBy("id").agg(F.sum(F.col("s") * F.col("k")).alias("log10_score"), F.sum("k").alias("tokens"))
+    return _summed(scored.select("id", (F.col("s") * F.col("k")).alias("s"), "k"), id_col)
+
+
+def _summed(scored: DataFrame, id_col: str) -> DataFrame:
+    sums = scored.groupBy("id").agg(F.sum("s").alias("log10_score"), F.sum("k").alias("tokens"))
     return sums.select(F.col("id").alias(id_col), "log10_score", "tokens", perplexity(F.col("log10_score"), F.col("tokens")).alias("perplexity"))
 
 

@@ -9,7 +9,7 @@ import pytest
 
 from corpusloom.functions import filters
 from corpusloom.functions.hashing import murmur3_32, murmur3_minima
-from corpusloom.operators import minhash, vocab
+from corpusloom.operators import minhash, scoring, vocab
 from corpusloom.plans import extra  # noqa: F401  (registers more)
 from corpusloom.plans.queries import ORACLES, QUERIES
 
@@ -31,8 +31,10 @@ def plain(rows):
     return sorted((tuple(same(v) for v in r) for r in rows), key=repr)
 
 
-def sql(name, folder):
+def sql(name, folder, **others):
     with duckdb.connect() as db:
+        for table, path in others.items():
+            db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}'")
         db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
         return plain(db.sql(ORACLES[name]).fetchall())
 
@@ -157,3 +159,18 @@ def test_tags_are_python_objects_for_a_few_rows_only(spark, documents):
 
     out = filters.tag_lines(tagger).func(pa.array([None, *["a b c"] * 200]))
     assert len(out) == 201 and out[0].as_py() is None and out[200].as_py() == [{"tag": w, "detail": ""} for w in "abc"] and max(calls) == 0
+
+
+def test_backoff_scores_in_rows_and_by_joins(spark, documents, monkeypatch):
+    """A small model goes to the workers and no gram is shuffled; a larger one is joined, with the same scores. Both against SQL."""
+    items = [prose(9, 40, 30), "a b c d e f g h i j", "the the", "été 😀"]
+    folder = documents([(i, t) for i, t in enumerate([*ODD, *(prose(i, 200, 60) for i in range(40))]) if t is not None])
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    want = sql("a9_backoff_perplexity", folder, benchmark=f"{folder}/benchmark.parquet/*.parquet")
+    for most in (scoring.MODEL_BYTES, 0):
+        monkeypatch.setattr(scoring, "MODEL_BYTES", most)
+        got = []
+        records, _ = shuffled(spark, lambda: got.extend(QUERIES["a9_backoff_perplexity"](spark, folder).collect()))  # noqa: B023
+        got = plain(got)
+        assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+        assert (records < 1000) == (most > 0)
