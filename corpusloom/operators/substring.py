@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from xxhash import xxh3_128_digest
 
 from corpusloom.functions.ngrams import bound, whitespace_words
-from corpusloom.plans.storage import Stash, spread
+from corpusloom.plans.storage import spread
 
 
 def merge_intervals(df: DataFrame, key: str, start: str = "start", stop: str = "stop", strategy: str = "overlapping") -> DataFrame:
@@ -56,29 +62,137 @@ def cut_bytes(text: Column, slices: Column) -> Column:
     return cut(text, slices)
 
 
-def word_passages(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, i (from 1), h: the XXH64 of every run of k white-space words."""
-    w = spread(docs).select(id_col, whitespace_words(F.col(text_col)).alias("w")).where(F.size("w") >= k)
-    return w.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))).alias("p", "h")).select(id_col, (F.col("p") + 1).alias("i"), "h")
+#: Passages that a task compares before it sends them, and bytes of input for a bucket of passages.
+CHUNK, BUCKET_BYTES = 1 << 20, 16 << 20
+_WORDS = re.compile(r"[^ \t\n\x0b\f\r]+").findall
+
+
+def _passages(text: str | None, k: int) -> np.ndarray:
+    """The first 96 bits of the XXH3-128 of every run of k words, as rows (h, g)."""
+    data = " ".join(_WORDS(text or "")).encode()
+    blanks = np.flatnonzero(np.frombuffer(data, "u1") == 32)
+    if not data or len(blanks) + 1 < k:
+        return np.empty(0, PASSAGE)
+    starts, stops = [0, *(blanks + 1).tolist()], [*blanks.tolist(), len(data)]
+    return np.frombuffer(b"".join([xxh3_128_digest(data[a:b])[:12] for a, b in zip(starts, stops[k - 1 :], strict=False)]), PASSAGE)
+
+
+PASSAGE = np.dtype([("h", "<u8"), ("g", "<u4")])
+
+
+def _groups(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows that brings equal (h, g) together, and where in it each group starts."""
+    order = np.argsort(h, kind="stable")
+    if len(h) and ((h[order][1:] == h[order][:-1]) & (g[order][1:] != g[order][:-1])).any():
+        order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    return order, np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else order
+
+
+def _by_document(doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(doc, kind="stable")
+    doc, at = doc[order], at[order]
+    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
+    return zip(doc[starts].tolist() if len(doc) else [], np.split(at, starts[1:]) if len(doc) else [], strict=True)
 
 
 def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, stop (in words): maximal runs of words covered by k-word passages that occur more than once.
 
-    A place of a passage costs 64 bits of hash, which are written once. The repeated ones are found by an aggregation
-    that combines on the map side; positions then meet that list by a join that AQE can split. Passages whose hashes
-    agree are compared by the SHA-256 of their words in a second, far smaller pass, so no chance collision marks a text.
+    A passage is named by 96 bits of hash and goes to the bucket of its hash once per task and distinct passage, packed with
+    its place; of passages that a task meets twice the places are known at once, so a common passage costs a name per task.
+    A bucket finds the passages that several tasks sent. Chance collisions among 10^10 passages have odds of 10^-9.
     """
-    held = Stash(word_passages(docs, k, id_col, text_col), "passages").df
-    often = Stash(held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated").df
-    found = Stash(held.join(often, "h").select(id_col, "i"), "found").df
-    at = found.groupBy(id_col).agg(F.array_sort(F.collect_set("i")).alias("at"))
-    words = spread(docs).select(id_col, whitespace_words(F.col(text_col)).alias("w")).join(at, id_col)
-    sums = F.transform("at", lambda i: F.struct(i.alias("i"), F.sha2(F.array_join(F.slice("w", i, F.lit(k)), " "), 256).alias("s")))
-    same = Stash(words.select(id_col, F.inline(sums)), "checked").df
-    sure = Stash(same.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"), "sure").df
-    spans = same.join(sure, "s").select(id_col, (F.col("i") - 1).alias("start"), (F.col("i") - 1 + k).alias("stop"))
-    return merge_intervals(spans, id_col)
+    rows = spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, size // BUCKET_BYTES))
+    kind = rows.schema["id"].dataType
+    sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("data", T.BinaryType()), T.StructField("found", T.BooleanType())])
+
+    def packed(ids: list, named: list[np.ndarray], arrow: pa.DataType) -> Iterator[pa.RecordBatch]:
+        sizes = [len(x) for x in named]
+        h, g = (np.concatenate([x[c] for x in named]) for c in ("h", "g"))
+        doc, at = np.repeat(np.arange(len(ids), dtype="u4"), sizes), np.concatenate([np.arange(1, n + 1, dtype="u4") for n in sizes])
+        order, starts = _groups(h, g)
+        counts = np.diff(np.r_[starts, len(order)])
+        again = order[np.repeat(counts > 1, counts)]
+        out = [(i % buckets, [ids[i]], x.tobytes(), True) for i, x in _by_document(doc[again], at[again])]
+        one, twice = order[starts], counts > 1
+        bucket = (h[one] % np.uint64(buckets)).astype("i8")
+        dealt = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+        for b in range(buckets):
+            mine = np.sort(dealt[ends[b] : ends[b + 1]])
+            if len(mine):
+                x = one[mine]
+                own, place = np.unique(doc[x], return_inverse=True)
+                data = [h[x], g[x], place.astype("u4"), at[x] | (twice[mine].astype("u4") << np.uint32(31))]
+                out.append((b, [ids[i] for i in own.tolist()], b"".join(v.tobytes() for v in data), False))
+        for i in range(0, len(out), 4096):
+            columns = list(zip(*out[i : i + 4096], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(arrow), pa.binary(), pa.bool_()), strict=True)], names=sent.names)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, named, n, arrow = [], [], 0, None
+        for batch in batches:
+            arrow = batch.schema.field("id").type
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    found = _passages(text, k)
+                    if len(found):
+                        ids.append(key)
+                        named.append(found)
+                        n += len(found)
+                if n >= CHUNK:
+                    yield from packed(ids, named, arrow)
+                    ids, named, n = [], [], 0
+        if n:
+            yield from packed(ids, named, arrow)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, arrow = [], [], None
+        for batch in batches:
+            arrow = batch.schema.field("ids").type.value_type
+            known = batch.filter(batch.column("found"))
+            if known.num_rows:
+                yield listed([x[0] for x in known.column("ids").to_pylist()], [np.frombuffer(x, "u4") for x in known.column("data").to_pylist()], arrow)
+            rest = batch.filter(pc.invert(batch.column("found")))
+            for own, data in zip(rest.column("ids").to_pylist(), rest.column("data").to_pylist(), strict=True):
+                n = len(data) // 20
+                h, g, place, at = (np.frombuffer(data, t, n, o * n) for t, o in (("<u8", 0), ("<u4", 8), ("<u4", 12), ("<u4", 16)))
+                held.append((h, g, place + np.uint32(len(ids)), at))
+                ids += own
+        if not held:
+            return
+        h, g, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order, starts = _groups(h, g)
+        doc, at = doc[order], at[order]
+        twice = at >> np.uint32(31) > 0
+        counts = np.diff(np.r_[starts, len(order)])
+        repeated = np.repeat((counts > 1) | np.logical_or.reduceat(twice, starts), counts) & ~twice
+        found = list(_by_document(doc[repeated], at[repeated]))
+        for i in range(0, len(found), 4096):
+            yield listed([ids[d] for d, _ in found[i : i + 4096]], [x for _, x in found[i : i + 4096]], arrow)
+
+    def listed(keys: list, places: list[np.ndarray], arrow: pa.DataType) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, places)]).astype("i4")
+        return pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(places).astype("i4")))], names=["id", "at"])
+
+    @F.arrow_udf("array<struct<start:int,stop:int>>")
+    def runs(places: pa.Array) -> pa.Array:
+        out = []
+        for x in places:
+            at = np.sort(x.values.to_numpy())
+            first = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + k])
+            last = np.r_[first[1:], len(at)] - 1
+            out.append([{"start": a - 1, "stop": b - 1 + k} for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+
+    met = rows.mapInArrow(send, sent).repartition(buckets, "bucket").mapInArrow(meet, T.StructType([T.StructField("id", kind), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+    places = met.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return places.select(F.col("id").alias(id_col), F.inline(runs("at")))
 
 
 def outside(words: Column, spans: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import filters
 from corpusloom.functions.hashing import murmur3_32, murmur3_minima
-from corpusloom.operators import minhash, repetition, scoring, vocab
+from corpusloom.operators import minhash, repetition, scoring, substring, vocab
 from corpusloom.plans import extra  # noqa: F401  (registers more)
 from corpusloom.plans.queries import ORACLES, QUERIES
 
@@ -184,3 +184,14 @@ def test_rules_of_ngrams_that_do_not_repeat_are_not_tried(spark):
         got = {r.doc_id: r.x for r in df.select("doc_id", repetition.may_repeat(F.col("w"), n).alias("x")).collect()}
         grams = [[tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for w in map(str.split, texts)]
         assert got == {i: len(set(g)) < len(g) for i, g in enumerate(grams)}
+
+
+@pytest.mark.parametrize("chunk", [1, 300, substring.CHUNK])
+def test_repeated_spans_shuffle_no_row_for_a_passage(spark, documents, monkeypatch, chunk):
+    """Passages within a text, within a task and between tasks, and runs that overlap, touch and lie apart; null ids too."""
+    monkeypatch.setattr(substring, "CHUNK", chunk)
+    shared, other = prose(1, 45), prose(2, 25)
+    texts = [shared, f"{prose(3, 30)} {shared} {prose(4, 21)} {other}", f"{other} {other}", prose(5, 19), prose(6, 20), prose(6, 20), "the " * 70, f"x\n{shared}", *(prose(i, 60) for i in range(20, 50)), *ODD]
+    folder = documents([(i if i != 2 else None, t) for i, t in enumerate(texts)])
+    records, _ = shuffled(spark, lambda: agrees(spark, "dj_repeated_spans", folder))
+    assert chunk == 1 or records < 600
