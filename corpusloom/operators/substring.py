@@ -211,7 +211,7 @@ def remove_repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id",
     """id, text (white-space words joined by blanks) without repeated passages; documents left empty go. A null text is
     left out; ids should be distinct and not null."""
     spans = repeated_spans(docs, k, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"))
-    rows = docs.select(id_col, whitespace_words(F.col(text_col)).alias("w")).join(spans, id_col, "left")
+    rows = docs.select(id_col, F.col(text_col).alias("__t")).join(spans, id_col, "left").select(id_col, whitespace_words(F.col("__t")).alias("w"), "s")  # the text is shuffled, not its words
     kept = F.when(F.col("s").isNull(), F.col("w")).otherwise(outside(F.col("w"), F.col("s")))
     return rows.select(id_col, F.array_join(kept, " ").alias("text")).where("text != ''")
 
